@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_main, langid, license_scan, mixing, quality, urlfilter, warc
+from . import html_main, langid, license_scan, mixing, packing, quality, urlfilter, warc
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.query(table(spark, sf_dir, "documents"))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.query(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.query(table(spark, sf_dir, "documents"))
 
@@ -38,5 +42,5 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_main.query(table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op2_language_id, op3_mixing, op5_quality_rules, op7_url_filters, op9_license_scan, op10_html_extraction)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op2_language_id, op3_mixing, op4_packing, op5_quality_rules, op7_url_filters, op9_license_scan, op10_html_extraction)}
 ORACLES: dict[str, str] = {"op1_warc": warc.SQL, "op3_mixing": mixing.SQL, "op7_url_filters": urlfilter.SQL}
