@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_main, langid, license_scan, mixing, packing, quality, topk, urlfilter, warc
+from . import html_main, langid, license_scan, mixing, neardup, packing, quality, topk, urlfilter, warc
 from .common import table
 
 
@@ -30,6 +30,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.query(table(spark, sf_dir, "documents"))
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.query(table(spark, sf_dir, "documents"))
+
+
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.query(table(spark, sf_dir, "pages"))
 
@@ -46,5 +50,5 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_main.query(table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op2_language_id, op3_mixing, op4_packing, op5_quality_rules, op7_url_filters, op8_exact_top_k, op9_license_scan, op10_html_extraction)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op2_language_id, op3_mixing, op4_packing, op5_quality_rules, op6_near_duplicates, op7_url_filters, op8_exact_top_k, op9_license_scan, op10_html_extraction)}
 ORACLES: dict[str, str] = {"op1_warc": warc.SQL, "op3_mixing": mixing.SQL, "op7_url_filters": urlfilter.SQL, "op8_exact_top_k": topk.SQL}
