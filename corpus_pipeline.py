@@ -3,22 +3,49 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from galena.llm import mixing
+from galena.llm import langid, mixing, neardup, packing, quality
 from galena.llm.common import shared_path, table
 
+#: A document whose average word speaks for no language by more than this is rejected, as is one without letters.
+LEAST_LANGUAGE_SCORE = 0.4
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a known language."""
+    base = docs.select(*[F.col(c).alias(f"doc:{c}") for c in docs.columns], F.col("text").alias("text"))
+    found = langid.predict(base, langid.fit(docs)).where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE_SCORE))
+    return found.select(*[F.col(f"`doc:{c}`").alias(c) for c in docs.columns])
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and look like their language."""
+    return quality.keep(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return neardup.keep(docs)
+
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
     return mixing.repeated(docs)
 
 
-STAGES = [("mixing", mix_sources)]
-#: Language scores and set similarity joins are no SQL; tests hold the stages against brute force.
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, packed into sequences."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [("language", language), ("quality", quality_rules), ("near_duplicates", near_duplicates), ("mixing", mix_sources), ("packing", pack)]
+#: Language scores, set similarity joins and token ids are no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = shared_path(spark, f"pipeline-{name}")
