@@ -12,6 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import bloom
 from .common import materialize
 from .graph import components
 
@@ -166,8 +167,8 @@ def candidates(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """classes (rep, n, wide, narrow) -> edges (a, b) such that all linked classes are connected by them.
 
     At the root of each tree a set is in the node of its minwise token. Small nodes are compared; in larger ones, the
-    sets branch by BRANCHES further minwise tokens each, and so on. Sets that share a large node below the last level
-    agree in all tokens on a path, so they are joined without a comparison. Joined sets are only candidates.
+    sets branch by BRANCHES further minwise tokens each, and so on. Sets that share a large node below the last level agree in all tokens on a path, so they are joined
+    without a comparison. Joined sets are only candidates.
     """
     narrow = classes.select(F.col("rep").alias("_rep"), "n", "narrow")
     wide = classes.select(F.col("rep").alias("_rep"), "wide")
@@ -270,7 +271,11 @@ def verified(docs: DataFrame, members: DataFrame, words: int, percent: int) -> D
                 out += confirm(items, percent)
             yield pa.RecordBatch.from_pydict({"a": pa.array([p[0] for p in out], pa.int64()), "b": pa.array([p[1] for p in out], pa.int64())})
 
-    rows = docs.select("doc_id", "text").join(members, F.col("doc_id") == F.col("rep")).select("group", "doc_id", "label", "asked", "text")
+    level = bloom.fill(members.select(F.col("rep").alias("key")).distinct(), members.count(), 0.02, 1)
+    texts = docs.select("doc_id", "text")
+    if level:  # documents without candidates stay where they are
+        texts = texts.where(bloom.contains(F.col("doc_id"), level))
+    rows = texts.join(members, F.col("doc_id") == F.col("rep")).select("group", "doc_id", "label", "asked", "text")
     return rows.repartition("group").sortWithinPartitions("group").mapInArrow(run, "a long, b long")
 
 
@@ -289,7 +294,7 @@ def links(docs: DataFrame, classes: DataFrame, words: int = SHINGLE, percent: in
     dealt = materialize(dealt, "near-dealt")
     group = F.xxhash64("component", "part").alias("group")
     everywhere = sizes.where("parts > 1").select(F.explode("pivots").alias("rep"), F.col("_c").alias("component"), F.sequence(F.lit(0).cast("long"), F.col("parts") - 1).alias("p")).select("rep", "component", F.explode("p").alias("part"))
-    members = dealt.select("rep", group).union(everywhere.select("rep", group)).distinct()
+    members = materialize(dealt.select("rep", group).union(everywhere.select("rep", group)).distinct(), "near-members")
     edges = materialize(verified(docs, members.withColumn("label", F.col("rep")).withColumn("asked", F.lit(True)), words, percent), "near-links")
     split = dealt.where("parts > 1")
     if split.isEmpty():
@@ -305,6 +310,7 @@ def links(docs: DataFrame, classes: DataFrame, words: int = SHINGLE, percent: in
     hers = apart.where("asked").select("rep", "component", "label", block.alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "asked")
     others = apart.select("rep", "component", "label", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "part", F.lit(False).alias("asked"))
     members = hers.union(others.select(*hers.columns)).groupBy("rep", "label", F.xxhash64("component", "part", "block").alias("group")).agg(F.max("asked").alias("asked"))
+    members = materialize(members, "near-members")
     return edges.union(materialize(verified(docs, members, words, percent), "near-links"))
 
 

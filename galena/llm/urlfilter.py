@@ -9,13 +9,9 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import bloom
 from .common import LOWER, UPPER, materialize
 
-#: A filter may have as many bits at most (8 MB in 7-bit bytes). A longer list is matched by a shuffled semi-join instead.
-MAX_BITS = 56_000_000
-PER_BYTE = 7  # a byte under 128 is a character of its own, so that SQL functions can read it in constant time
-
-
 class Rule(NamedTuple):
     verdict: str
     host: str
@@ -56,43 +52,6 @@ def rule_for(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
     return out
 
 
-class Level(NamedTuple):
-    """One Bloom filter: bits, hash functions, and its bits, 7 in a byte."""
-
-    bits: int
-    hashes: int
-    data: bytes
-    seed: int
-
-
-def _positions(key: Column, bits: int, hashes: int, seed: int) -> list[Column]:
-    one, two = F.xxhash64(key, F.lit(seed)), F.xxhash64(F.lit(seed), key)
-    return [F.pmod(F.xxhash64(one, two, F.lit(i)), F.lit(bits)) for i in range(hashes)]
-
-
-def _contains(key: Column, level: Level) -> Column:
-    data, out = F.lit(bytearray(level.data)), F.lit(True)
-    for p in _positions(key, level.bits, level.hashes, level.seed):
-        at = (F.floor(p / PER_BYTE) + 1).cast("int")
-        byte = F.ascii(F.substring(data, at, F.lit(1)).cast("string"))
-        out = out & (F.call_function("shiftright", byte, (p % PER_BYTE).cast("int")).bitwiseAND(F.lit(1)) == 1)
-    return out
-
-
-def _fill(keys: DataFrame, n: int, rate: float, seed: int) -> Level | None:
-    """A filter of the n keys. The set bits are gathered as at most bits / 7 numbers, a count that MAX_BITS bounds."""
-    bits = max(64, math.ceil(n * math.log2(1 / rate) / math.log(2)))
-    if bits > MAX_BITS:
-        return None
-    hashes = max(1, round(math.log2(1 / rate)))
-    at = keys.select(F.explode(F.array(*_positions(F.col("key"), bits, hashes, seed))).alias("p"))
-    at = at.groupBy(F.floor(F.col("p") / PER_BYTE).alias("i")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1), (F.col("p") % PER_BYTE).cast("int"))).alias("b"))
-    data = bytearray(math.ceil(bits / PER_BYTE))
-    for i, b in at.collect():
-        data[i] = b
-    return Level(bits, hashes, bytes(data), seed)
-
-
 class Cascade:
     """Exact membership of a list for all keys of a universe, without a join at query time.
 
@@ -106,18 +65,18 @@ class Cascade:
         listed = listed.select(F.col("key").cast("string").alias("_k")).where("_k IS NOT NULL").distinct()
         marked = universe.select(F.col("key").cast("string").alias("key")).where("key IS NOT NULL").distinct()
         marked = materialize(marked.join(listed, F.col("key") == F.col("_k"), "left").select("key", F.col("_k").isNotNull().alias("listed")), "url-universe")
-        self.levels: list[Level] = []
+        self.levels: list[bloom.Level] = []
         self.exact = True
         inside, outside = marked.where("listed").select("key"), marked.where("NOT listed").select("key")
         n, m = inside.count(), outside.count()
         while n and len(self.levels) < max_levels:
             rate = min(0.5, max(1e-6, n * math.sqrt(0.5) / max(m, 1))) if not self.levels else 0.5
-            level = _fill(inside, n, rate, len(self.levels) + 1)
+            level = bloom.fill(inside, n, rate, len(self.levels) + 1)
             if level is None:
                 self.exact = False
                 return
             self.levels.append(level)
-            inside, outside = outside.where(_contains(F.col("key"), level)), inside
+            inside, outside = outside.where(bloom.contains(F.col("key"), level)), inside
             n, m = inside.count(), n
         self.exact = not n
 
@@ -125,7 +84,7 @@ class Cascade:
         """Whether key, of the universe, is listed."""
         out = F.lit(len(self.levels) % 2 == 1)
         for i in range(len(self.levels), 0, -1):
-            out = F.when(_contains(key, self.levels[i - 1]), out).otherwise(F.lit(i % 2 == 0))
+            out = F.when(bloom.contains(key, self.levels[i - 1]), out).otherwise(F.lit(i % 2 == 0))
         return F.coalesce(out, F.lit(False))
 
 
@@ -146,7 +105,7 @@ def judge(pages: DataFrame, rules: Sequence[Rule], listed: DataFrame) -> DataFra
     out = out.withColumn("rule", rule_for(F.col("host"), F.col("path"), rules))
     if cascade.exact:
         hit = F.exists(suffixes(F.col("host")), cascade.contains)
-    else:  # the list is beyond MAX_BITS: hosts are matched by a shuffled join, still exactly
+    else:  # the list is too long for a filter: hosts are matched by a shuffled join, still exactly
         found = universe.distinct().join(listed.select("key").distinct(), "key", "left_semi")
         bad = hosts.select("h", F.explode(suffixes(F.col("h"))).alias("key")).join(found, "key").select(F.col("h").alias("_bad")).distinct()
         out = out.join(bad, F.col("host") == F.col("_bad"), "left")
