@@ -24,6 +24,8 @@ VALUES = 64
 TREES = 8
 #: Nodes up to this size are compared exhaustively; larger ones branch by BRANCHES tokens more, LEVELS times at most.
 SMALL, BRANCHES, LEVELS = 512, 2, 4
+#: A large node is joined if this part of it resembles one of its sets.
+ALIKE = 0.8
 #: Of the minwise values two sets must share as many to be compared in full; a pair at the threshold shares 51 of 64 on
 #: average with a standard deviation of 3.2, so it has fewer once in 10 million.
 LEAST_SHARED = 34
@@ -159,6 +161,20 @@ def node_edges(ids: np.ndarray, n: np.ndarray, narrow: np.ndarray, percent: int)
     return out
 
 
+def near_pivot(rows: DataFrame, narrow: DataFrame) -> DataFrame:
+    """rows (rep, tree, key) -> rep, tree, key, near: whether a set resembles one set of its node, taken by a hash."""
+    rows = rows.join(narrow.select("_rep", "narrow"), F.col("rep") == F.col("_rep")).select("rep", "tree", "key", "narrow")
+    pivots = rows.groupBy("key").agg(F.min_by("narrow", F.xxhash64("rep", "key")).alias("pivot")).withColumnRenamed("key", "_key")
+    rows = rows.join(pivots, F.col("key") == F.col("_key")).select("rep", "tree", "key", "narrow", "pivot")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            a, p = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint8).reshape(-1, VALUES) for k in ("narrow", "pivot"))
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array((a == p).sum(axis=1) >= LEAST_SHARED, pa.bool_())], ["rep", "tree", "key", "near"])
+
+    return materialize(rows.mapInArrow(compare, "rep long, tree int, key long, near boolean"), "near-pivots")
+
+
 def _value(wide: Column, i: int) -> Column:
     return F.substring(wide, 4 * i + 1, 4)
 
@@ -166,8 +182,9 @@ def _value(wide: Column, i: int) -> Column:
 def candidates(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """classes (rep, n, wide, narrow) -> edges (a, b) such that all linked classes are connected by them.
 
-    At the root of each tree a set is in the node of its minwise token. Small nodes are compared; in larger ones, the
-    sets branch by BRANCHES further minwise tokens each, and so on. Sets that share a large node below the last level agree in all tokens on a path, so they are joined
+    At the root of each tree a set is in the node of its minwise token. Small nodes are compared. A larger one of which
+    most sets resemble one of them is joined as it is; in the others, the sets branch by BRANCHES further minwise tokens
+    each, and so on. Sets that share a large node below the last level agree in all tokens on a path, so they are joined
     without a comparison. Joined sets are only candidates.
     """
     narrow = classes.select(F.col("rep").alias("_rep"), "n", "narrow")
@@ -202,6 +219,13 @@ def candidates(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
         if level == LEVELS:
             found.append(large.select(F.col("_least").alias("a"), F.col("rep").alias("b")))
             break
+        large = near_pivot(large.select("rep", "tree", "key"), narrow)
+        alike = large.groupBy("key").agg(F.avg(F.col("near").cast("double")).alias("_share"), F.min("rep").alias("_least")).withColumnRenamed("key", "_key")
+        large = materialize(large.join(alike, F.col("key") == F.col("_key")).select("rep", "tree", "key", "_share", "_least"), "near-large")
+        found.append(large.where(F.col("_share") >= ALIKE).select(F.col("_least").alias("a"), F.col("rep").alias("b")))
+        large = large.where(F.col("_share") < ALIKE)
+        if large.isEmpty():
+            break
         large = large.select("rep", "tree", "key").join(wide, F.col("rep") == F.col("_rep"))
         # each tree takes values of its own, in an order of its own
         keys = [F.lit(None).cast("long")] * BRANCHES
