@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import string
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -11,6 +12,7 @@ from typing import NamedTuple
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -28,45 +30,87 @@ COLUMNS = 192
 #: When as few pieces are left, best fit places them.
 LEAVE = 4000
 #: Pieces of one length that one group of the ranking holds, about.
-RANK_ROWS = 500
+RANK_ROWS = 200
 #: Parts of texts that are encoded in one go, between marks: a control character that is a token of its own.
 TOGETHER, MARK = 2000, "\x01"
-#: Words whose ids a task keeps.
-CACHE_WORDS = 400_000
+#: Words whose ids a Python worker keeps, in about 200 MB.
+CACHE_WORDS = 1_000_000
+PUNCTUATION = string.punctuation
+SPECIAL = "<|"  # special tokens begin so; they are found before capitals are dropped
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 class Encoder:
-    """Ids of texts as little-endian 32-bit numbers. The tokenizer drops white space and joins nothing across it, so the
-    ids of a text are those of its parts between blanks and line feeds, most of which come again and again."""
+    """Ids of texts. The tokenizer drops white space and joins nothing across it, so the ids of a text are those of its
+    parts between blanks and line feeds; of a part, those of its last letters up to there and of the ASCII punctuation
+    behind them; and in ASCII, capitals do not count. Most of these come again and again."""
 
     def __init__(self, tokenizer: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_str(tokenizer), {"": b""}
+        self.tokenizer = Tokenizer.from_str(tokenizer)
+        self.known: dict[str, bytes] = {"": b""}  # little-endian 32-bit numbers
         self.mark = int(self.ids(MARK)[0])
 
     def ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
-    def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
-        parts = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        if len(self.known) > CACHE_WORDS:
-            self.known = {"": b""}
-        new = set().union(*parts) - self.known.keys()
-        odd = [w for w in new if MARK in w]
-        self.known.update((w, self.ids(w).tobytes()) for w in odd)
-        plain = list(new.difference(odd))
-        for i in range(0, len(plain), TOGETHER):
-            some = plain[i : i + TOGETHER]
+    def learn(self, parts: list[str]) -> None:
+        """Take the ids of parts into known."""
+        known = self.known
+        if len(known) > CACHE_WORDS:
+            known.clear()
+            known[""] = b""
+        new = set(parts).difference(known)
+        for w in [w for w in new if MARK in w]:
+            known[w] = self.ids(w).tobytes()
+            new.remove(w)
+        todo = list(new)
+        for i in range(0, len(todo), TOGETHER):
+            some = todo[i : i + TOGETHER]
             ids = self.ids(f" {MARK} ".join(some))
             data, cuts = ids.tobytes(), (4 * np.flatnonzero(ids == self.mark)).tolist()
-            self.known.update(zip(some, (data[a:b] for a, b in zip([0, *(c + 4 for c in cuts)], [*cuts, len(data)], strict=True)), strict=True))
+            known.update(zip(some, [data[a:b] for a, b in zip([0, *(c + 4 for c in cuts)], [*cuts, len(data)], strict=True)], strict=True))
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and where each text begins, and the end."""
+        lists = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        coded = lists.flatten().dictionary_encode()
+        index = coded.indices.to_numpy()
+        heads, tails = [], []
+        for w in coded.dictionary.to_pylist():
+            head = w.rstrip(PUNCTUATION)
+            if SPECIAL in w or not head or not head[-1].isalpha():
+                heads.append(w)
+                tails.append("")
+                continue
+            heads.append(head.lower() if head.isascii() else head)
+            tails.append(w[len(head) :])
+        self.learn([*heads, *tails])
         get = self.known.__getitem__
-        for p in parts:
-            yield b"".join(map(get, p))
+        parts = [*map(get, heads), *map(get, tails)]
+        size = np.fromiter(map(len, parts), np.int64, len(parts)).reshape(2, -1) // 4
+        both = np.frombuffer(b"".join(parts), "<u4")
+        at = (np.cumsum(size.ravel()) - size.ravel()).reshape(2, -1)
+        pair = np.stack([index, index + size.shape[1]], axis=1).ravel()  # head and tail of each part of the texts
+        n = size.ravel()[pair]
+        begin = np.cumsum(n) - n
+        ids = both[np.repeat(at.ravel()[pair] - begin, n) + np.arange(n.sum())]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        return ids, ends[2 * (np.asarray(lists.offsets) - np.asarray(lists.offsets)[0])]
+
+
+def encoder(tokenizer: str) -> Encoder:
+    """One Encoder for all tasks of a Python worker, which knows the words of the tasks before."""
+    import tokenizers
+
+    held = getattr(tokenizers, "_galena_encoder", None)
+    if held is None or held[0] != tokenizer:
+        held = tokenizer, Encoder(tokenizer)
+        tokenizers._galena_encoder = held
+    return held[1]
 
 
 def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY, end_id: int = END_ID, ids: bool = False) -> DataFrame:
@@ -78,12 +122,14 @@ def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY
     wide = 4 * capacity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(shared.value)
+        encode = encoder(shared.value)
         for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch, rows = whole.slice(at, 500), []
-                for doc_id, data in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text").to_pylist()), strict=True):
-                    data += end
+            for at in range(0, whole.num_rows, 2500):
+                batch, rows = whole.slice(at, 2500), []
+                found, cuts = encode(batch.column("text"))
+                found, cuts = found.tobytes(), (4 * cuts).tolist()
+                for doc_id, a, b in zip(batch.column("doc_id").to_pylist(), cuts[:-1], cuts[1:], strict=True):
+                    data = found[a:b] + end
                     for k, i in enumerate(range(0, len(data), wide)):
                         part = data[i : i + wide]
                         rows.append((doc_id, k, i // 4, len(part) // 4, zlib.crc32(part)) + ((np.frombuffer(part, "<u4").astype(np.int32).tolist(),) if ids else ()))
