@@ -121,7 +121,7 @@ def _page_records(batch: pa.RecordBatch) -> Iterator[bytes]:
         kind, block = ("response", head + payload) if refers is None else ("revisit", head)
         name = f"page/{page_id}"
         headers = [("WARC-Type", kind), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>"), ("WARC-Date", "2024-01-01T00:00:00Z")]
-        headers += [("WARC-Target-URI", quote(url, safe=URI_SAFE))] * (url is not None)
+        headers += [("WARC-Target-URI", quote(url, safe=URI_SAFE))] if url is not None else []
         headers += [("Content-Type", "application/http; msgtype=response"), ("WARC-Payload-Digest", digest_header(hashlib.sha1(payload).digest())), ("WARC-Block-Digest", digest_header(hashlib.sha1(block).digest()))]
         headers += [("Page-Id", str(page_id))] * (page_id is not None)
         if refers is not None:
