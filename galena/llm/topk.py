@@ -53,7 +53,9 @@ def candidates(bucket: Bucket, query: np.ndarray, length: float, theta: float) -
 
     Length pruning: a vector shorter than theta / length cannot; as the longest come first, that is a prefix. Coordinate
     pruning: with the cosine that the bucket's longest vector would need, t, a unit vector at least that near to the
-    query q has in coordinate f a value within t*q_f -+ sqrt((1-t*t)(1-q_f*q_f)). Bounds are loosened by rounding errors.
+    query q has in coordinate f a value within t*q_f -+ sqrt((1-t*t)(1-q_f*q_f)), without the upper bound where q_f is at least t
+    and the lower one where it is at most -t, as the coordinate's own axis is then that near. Bounds are loosened by
+    rounding errors.
     """
     rows = np.arange(len(bucket.ids))
     if theta <= 0 or length == 0 or not len(rows):
@@ -69,7 +71,8 @@ def candidates(bucket: Bucket, query: np.ndarray, length: float, theta: float) -
         for f in np.argsort(-np.abs(unit))[:FOCUS]:
             spread = np.sqrt(max(0.0, (1 - t * t) * (1 - unit[f] ** 2))) + 1e-9
             u = bucket.units[rows, f]
-            rows = rows[(u >= t * unit[f] - spread) & (u <= t * unit[f] + spread)]
+            low, high = t * unit[f] - spread, t * unit[f] + spread
+            rows = rows[((u >= low) | (unit[f] <= -t)) & ((u <= high) | (unit[f] >= t))]
     return rows
 
 
