@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize
+from .common import materialize, text_batches
 from .urlfilter import host_of
 
 #: A host's wrapper is induced from as many of its pages at most, taken by a hash; hosts with fewer than LEAST_PAGES have none.
@@ -23,6 +23,8 @@ SAMPLE_PAGES, LEAST_PAGES = 8, 3
 #: Wrappers up to as many bytes in all are broadcast; beyond, they are joined by a shuffle.
 BROADCAST_BYTES = 8 << 20
 
+#: Template may make up this part of a main element's text.
+MOST_FIXED = 0.25
 #: Deeper elements count as beside what they contain, as in browsers, which stop at some depth too.
 MOST_DEPTH = 150
 #: Beyond as many pairs of siblings, order and sign alone pair them.
@@ -131,20 +133,20 @@ def runs(nodes: list[Node]) -> list[list[Node]]:
 
 
 class Slot:
-    """A node of a wrapper: its sign, the pages that have it, whether it repeats, the hash of its text while that is the
-    same on all of them (else None), and its slots."""
+    """A node of a wrapper: its sign, the pages that have it, the hashes of texts that it holds on all of them, and its
+    slots."""
 
-    __slots__ = ("hash", "many", "pages", "sign", "slots")
+    __slots__ = ("pages", "same", "sign", "slots")
 
-    def __init__(self, sign: str, pages: int, many: bool, hash: int | None, slots: list[Slot]):
-        self.sign, self.pages, self.many, self.hash, self.slots = sign, pages, many, hash, slots
+    def __init__(self, sign: str, pages: int, same: set[int], slots: list[Slot]):
+        self.sign, self.pages, self.same, self.slots = sign, pages, same, slots
 
     def plain(self) -> list:
-        return [self.sign, self.pages, self.many, self.hash, [s.plain() for s in self.slots]]
+        return [self.sign, self.pages, sorted(self.same), [s.plain() for s in self.slots]]
 
     @classmethod
     def of(cls, plain: list) -> Slot:
-        return cls(*plain[:4], [cls.of(p) for p in plain[4]])
+        return cls(plain[0], plain[1], set(plain[2]), [cls.of(p) for p in plain[3]])
 
 
 def text_hash(node: Node) -> int:
@@ -152,8 +154,7 @@ def text_hash(node: Node) -> int:
 
 
 def slot_of(run: list[Node]) -> Slot:
-    many = len(run) > 1
-    return Slot(run[0].sign, 1, many, None if many else text_hash(run[0]), [slot_of(r) for r in runs(run[0].elements())])
+    return Slot(run[0].sign, 1, set(map(text_hash, run)), [slot_of(r) for r in runs(run[0].elements())])
 
 
 def match(run: list[Node], slot: Slot, memo: dict) -> int:
@@ -204,9 +205,7 @@ def align(page: list[list[Node]], slots: list[Slot], memo: dict) -> tuple[int, l
 def merge(run: list[Node], slot: Slot, memo: dict) -> None:
     """Take another page's run into a slot; what has no counterpart becomes an optional slot."""
     slot.pages += 1
-    slot.many |= len(run) > 1
-    if slot.many or slot.hash != text_hash(run[0]):
-        slot.hash = None
+    slot.same &= set(map(text_hash, run))
     page = runs(run[0].elements())
     pairs = align(page, slot.slots, memo)[1]
     paired = dict(pairs)
@@ -235,9 +234,8 @@ def induce(pages: list[str]) -> Slot | None:
 
 def apply(run: list[Node], slot: Slot, whole: int, memo: dict) -> None:
     """Mark the nodes of a page whose text is the same on all pages of the wrapper."""
-    if len(run) == 1 and slot.pages == whole and not slot.many and slot.hash is not None:
-        run[0].constant = slot.hash == text_hash(run[0])
     for node in run:
+        node.constant = slot.pages == whole and bool(slot.same) and text_hash(node) in slot.same
         page = runs(node.elements())
         for i, j in align(page, slot.slots, memo)[1]:
             apply(page[i], slot.slots[j], whole, memo)
@@ -313,15 +311,17 @@ def blocks(root: Node) -> list[tuple[str, bool]]:
 
 
 def extract(source: str | None, wrapper: Slot | None) -> str:
-    """The main text: the blocks of the main element that vary within the host. Where all of them are template (a
-    page of which the host has only copies), they are the text."""
+    """The main text: the blocks of the main element that vary within the host. Where more than MOST_FIXED of the text
+    would be template, the host has copies of the page, and all of it is the text."""
     if not source:
         return ""
     root = parse(source)
     if wrapper:
         apply([root], wrapper, wrapper.pages, {})
     found = blocks(main_root(root))
-    return "\n\n".join([t for t, fixed in found if not fixed] or [t for t, _ in found])
+    fixed = sum(len(t) for t, f in found if f)
+    drop = fixed <= MOST_FIXED * sum(len(t) for t, _ in found)
+    return "\n\n".join(t for t, f in found if not (f and drop))
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
@@ -350,7 +350,7 @@ def extract_main(pages: DataFrame) -> DataFrame:
     found = materialize(wrappers(pages), "html-wrappers")
     size = found.agg(F.coalesce(F.sum(F.length("wrapper") + F.length("host")), F.lit(0))).first()[0]
     found = found.select(F.col("host").alias("_host"), "wrapper")
-    rows = pages.select("page_id", "url", "html").withColumn("_key", host_of(F.col("url")))
+    rows = text_batches(pages).select("page_id", "url", "html").withColumn("_key", host_of(F.col("url")))
     rows = rows.join(F.broadcast(found) if size <= BROADCAST_BYTES else found, F.col("_key") == F.col("_host"), "left").select("page_id", "url", "html", "wrapper")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
