@@ -35,6 +35,7 @@ class Collection:
     def __init__(self, spark: SparkSession, path: str, state: dict):
         self.spark, self.path, self._state = spark, path.rstrip("/"), state
         self.config = CollectionConfig.of(state["config"])
+        self._staging = False
 
     # files, by Hadoop's file systems, so that any store that Spark reads will do
 
@@ -93,8 +94,29 @@ class Collection:
             return False
         return all(self._fs(self.spark, p)[0].exists(self._fs(self.spark, p)[1]) for p in self._state["edges"])
 
+    @contextmanager
+    def transaction(self) -> Iterator[Collection]:
+        """Several writes that become visible together, or, after an error, not at all. Reads in between see them."""
+        with self._writer():
+            before, outer = self._state, self._staging
+            self._staging = True
+            try:
+                yield self
+            except BaseException:
+                self._state = before
+                raise
+            finally:
+                self._staging = outer
+            if not outer:
+                after, self._state = self._state, before
+                if after is not before:
+                    self._publish({k: v for k, v in after.items() if k != "version"})
+
     @contextmanager
     def _writer(self) -> Iterator[None]:
+        if self._staging:  # within a transaction, which holds the lock
+            yield
+            return
         fs, lock = self._fs(self.spark, f"{self.path}/writer.lock")
         if not fs.createNewFile(lock):
             raise IoError(f"{self.path} has another writer (remove {self.path}/writer.lock if it died)")
@@ -106,6 +128,9 @@ class Collection:
 
     def _publish(self, changed: Mapping) -> None:
         """Make a new state the current one: it is written beside the pointer and then renamed over it."""
+        if self._staging:
+            self._state = {**self._state, **changed}
+            return
         state = {**self._state, **changed, "version": self._state["version"] + 1}
         part = f"{self.path}/.{uuid.uuid4().hex}.json"
         self._write_text(self.spark, part, json.dumps(state), True)

@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 
 from .functions import metadata as M
 from .functions import metrics as D
+from .functions import present as P
 from .functions.metrics import Metric
 from .operators import hnsw, search
 from .operators import store as ops
 from .plans.filters import Filter
 from .plans.options import CollectionConfig, HnswConfig, QueryOptions
+from .sources.csvs import float_text, parse_column
 from .sources.dataset import DatasetSpec, generate, generate_queries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -330,6 +332,40 @@ def metadata_key_remove(spark, sf_dir):
     return _shown(ops.remove_key(document_metadata(spark, sf_dir), _changes(spark, sf_dir), "lang"))
 
 
+@query("SELECT event_id AS id, event_type AS type, CAST(CAST(json_extract(props, '$.k') AS BIGINT) AS VARCHAR) AS k FROM events")
+def metadata_display(spark, sf_dir):
+    at = lambda k: M.display(F.try_element_at("metadata", F.lit(k)))
+    return event_metadata(spark, sf_dir).select("id", at("type").alias("type"), at("k").alias("k"))
+
+
+@query("""SELECT o_orderkey AS id, format('{:,}', o_orderkey * 1000) AS grouped, CASE WHEN o_orderkey < 1024 THEN o_orderkey || ' B' WHEN o_orderkey < 1048576 THEN CAST(round(o_orderkey / 1024.0::DOUBLE, 1) AS DECIMAL(20, 1)) || ' KB' ELSE CAST(round(o_orderkey / 1048576.0::DOUBLE, 1) AS DECIMAL(20, 1)) || ' MB' END AS bytes FROM orders""")
+def presentation(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    return o.select(F.col("o_orderkey").alias("id"), P.grouped(F.col("o_orderkey") * 1000).alias("grouped"), P.human_bytes(F.col("o_orderkey")).alias("bytes"))
+
+
+@query("SELECT vec_id AS id, len(embedding) AS n, round(CAST(embedding[1] AS DOUBLE), 4) AS first FROM embeddings")
+def literal_parse(spark, sf_dir):
+    """Vectors written as text with commas, blanks and brackets, and read back."""
+    e = table(spark, sf_dir, "embeddings")
+    text = F.concat(F.lit("["), F.concat_ws(", ", F.transform("embedding", float_text)), F.lit(" ]"))
+    v = parse_column(text)
+    return e.select(F.col("vec_id").alias("id"), F.size(v).cast("long").alias("n"), F.round(F.get(v, F.lit(0)).cast("double"), 4).alias("first"))
+
+
+@query("SELECT vec_id AS qid, CAST(1 AS DOUBLE) AS recall FROM embeddings WHERE vec_id % 50 = 0")
+def recall_of_exact(spark, sf_dir):
+    """The block form finds all that the expression form finds."""
+    s, q = store(spark, sf_dir), asked(spark, sf_dir)
+    return search.recall(search.knn_blocks(s, q, Metric.DOT, PLAIN), search.knn_batch(s, q, Metric.DOT, PLAIN), 10)
+
+
+@query("SELECT vec_id AS id FROM embeddings WHERE vec_id % 4 <> 1 ORDER BY id")
+def all_ids(spark, sf_dir):
+    s = store(spark, sf_dir)
+    return ops.all_ids(ops.remove(s, s.where("id % 4 = 1").select("id")))
+
+
 # writes
 
 

@@ -31,6 +31,12 @@ def parse_literal(text: str) -> list[float]:
     return out
 
 
+def parse_column(text: F.Column) -> F.Column:
+    """The same for a column of literals; what is no number becomes null, for a check to find."""
+    parts = F.filter(F.split(text, r"[,\s\[\]]+"), lambda p: p != "")
+    return F.transform(parts, lambda p: p.try_cast("float"))
+
+
 def read_csv(spark: SparkSession, path: str, ids: bool = False) -> DataFrame:
     """ordinal, id, embedding of a file in which blank lines and those that begin with # are skipped; with ids, the
     first field is the id. A field that is no number, or a line of another length than the first, raises with its line.

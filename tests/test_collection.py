@@ -69,6 +69,19 @@ def test_one_writer(papers):
     assert papers.remove([7]) == 1
 
 
+def test_transactions_publish_once_or_not_at_all(spark, papers):
+    with papers.transaction() as t:
+        t.insert(t.batch([(50, [0, 0, 1], {"a": 1})]))
+        with t.transaction():
+            t.remove([7])
+        assert Collection.open(spark, papers.path).size() == 4
+    assert papers.size() == 4 and papers.contains(50) and not papers.contains(7)
+    with pytest.raises(DuplicateIdError), papers.transaction() as t:
+        t.remove([50])
+        t.insert(t.batch([(8, [1, 1, 1], None)]))
+    assert papers.contains(50) and Collection.open(spark, papers.path).contains(50)
+
+
 def test_snapshots_stay_readable(papers):
     before = papers.vectors()
     papers.remove([7])
