@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from galena.llm import langid, mixing, neardup, packing, quality
 from galena.llm.common import shared_path, table
@@ -14,9 +13,7 @@ LEAST_LANGUAGE_SCORE = 0.4
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language."""
-    base = docs.select(*[F.col(c).alias(f"doc:{c}") for c in docs.columns], F.col("text").alias("text"))
-    found = langid.predict(base, langid.fit(docs)).where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE_SCORE))
-    return found.select(*[F.col(f"`doc:{c}`").alias(c) for c in docs.columns])
+    return langid.keep(docs, LEAST_LANGUAGE_SCORE)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+#: Rows with whole texts in one Arrow batch.
+TEXT_ROWS = 500
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -58,6 +61,15 @@ def release() -> None:
 atexit.register(release)
 
 
+def text_batches(df: DataFrame) -> DataFrame:
+    """df, in whose session rows with whole texts go to Python in batches of TEXT_ROWS at most, to bound their memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    held = int(df.sparkSession.conf.get(key))
+    if not 0 < held <= TEXT_ROWS:
+        df.sparkSession.conf.set(key, TEXT_ROWS)
+    return df
+
+
 def lower_ascii(c: Column) -> Column:
     """A-Z in lower case; other letters stay."""
     return F.translate(c, UPPER, LOWER)

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import text_batches
+
 VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
 #: At most about as many documents of each language are learned from, taken by a hash of doc_id.
 LEARN_DOCS = 400
@@ -23,7 +25,7 @@ SMOOTHING, UNKNOWN = 0.05, 1e-6
 #: Runs of more letters are cut: no language writes longer words, and products of probabilities stay above zero.
 WORD_LETTERS = 40
 #: Words whose scores a task keeps at once, and words scored at once.
-CACHE_WORDS, BLOCK_WORDS = 400_000, 20_000
+CACHE_WORDS, BLOCK_WORDS = 300_000, 10_000
 UNDETERMINED = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -211,7 +213,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     model. Of languages that tie, the first in the order of their names wins.
     """
     rest = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    base = docs.select(*rest)
+    base = text_batches(docs).select(*rest)
     if model is None:
         return base.withColumn("lang_pred", F.lit(UNDETERMINED)).withColumn("score", F.lit(0.0))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # as large as the vocabulary, for each language
@@ -228,6 +230,26 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     return base.mapInArrow(run, schema)
 
 
+def keep(docs: DataFrame, least: float) -> DataFrame:
+    """The rows of docs whose text is in one of the languages learned from docs, with a score of at least least. Only
+    the texts travel to Python, and only the verdicts come back."""
+    model = fit(docs)
+    if model is None:
+        return docs.where("false")
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def speaks(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        scorer = Scorer(shared.value)
+        for texts in batches:
+            out: list[bool] = []
+            for at in range(0, len(texts), 500):
+                langs, scores = scorer(texts.slice(at, 500).to_pylist())
+                out += [g != UNDETERMINED and s >= least for g, s in zip(langs, scores, strict=True)]
+            yield pa.array(out, pa.bool_())
+
+    return text_batches(docs).where(F.arrow_udf(speaks, "boolean")(F.col("text")))
+
+
 def query(docs: DataFrame) -> DataFrame:
     model = fit(docs)
     return predict(docs.select("doc_id", "text"), model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

@@ -9,7 +9,8 @@ from typing import NamedTuple
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from .common import text_batches
 
 #: Base phrases. Fixed values.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -193,7 +194,7 @@ def license_scan(docs: DataFrame) -> DataFrame:
                 "starts": pa.array(starts, pa.list_(pa.int64())),
             })
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return text_batches(docs).select("doc_id", "text").mapInArrow(run, SCHEMA)
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import materialize
+from .common import materialize, text_batches
 from .graph import components
 
 #: Words of a shingle; sets are linked from this percentage of their union on.
@@ -106,7 +106,7 @@ def sets(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
                 kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *(pa.array(x, t) for x, t in zip((n, prints, wide, narrow), kinds, strict=True))], ["doc_id", "n", "print", "wide", "narrow"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, print binary, wide binary, narrow binary")
+    return text_batches(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, n long, print binary, wide binary, narrow binary")
 
 
 def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -296,7 +296,7 @@ def verified(docs: DataFrame, members: DataFrame, words: int, percent: int) -> D
             yield pa.RecordBatch.from_pydict({"a": pa.array([p[0] for p in out], pa.int64()), "b": pa.array([p[1] for p in out], pa.int64())})
 
     level = bloom.fill(members.select(F.col("rep").alias("key")).distinct(), members.count(), 0.02, 1)
-    texts = docs.select("doc_id", "text")
+    texts = text_batches(docs).select("doc_id", "text")
     if level:  # documents without candidates stay where they are
         texts = texts.where(bloom.contains(F.col("doc_id"), level))
     rows = texts.join(members, F.col("doc_id") == F.col("rep")).select("group", "doc_id", "label", "asked", "text")

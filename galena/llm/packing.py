@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize
+from .common import materialize, text_batches
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 CAPACITY, END_ID = 4096, 1
@@ -33,8 +33,8 @@ LEAVE = 4000
 RANK_ROWS = 200
 #: Parts of texts that are encoded in one go, between marks: a control character that is a token of its own.
 TOGETHER, MARK = 2000, "\x01"
-#: Words whose ids a Python worker keeps, in about 200 MB.
-CACHE_WORDS = 1_000_000
+#: Words whose ids a Python worker keeps, in about 100 MB.
+CACHE_WORDS = 500_000
 PUNCTUATION = string.punctuation
 SPECIAL = "<|"  # special tokens begin so; they are found before capitals are dropped
 
@@ -137,7 +137,7 @@ def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY
                 names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * ids
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, PIECES + ", ids array<int>" * ids)
+    return text_batches(docs).select("doc_id", "text").mapInArrow(run, PIECES + ", ids array<int>" * ids)
 
 
 class Plan(NamedTuple):

@@ -10,10 +10,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import materialize
+from .common import materialize, text_batches
 
 SYMBOLS = b"#*$%&|<>"
 LEAST_WORDS = 50
@@ -151,9 +150,8 @@ def _language(lang: str | None, data: str | None, common: dict[str, list[bytes]]
     return max(sorted(common), key=lambda k: sum(each.get(w, 0) for w in common[k]))
 
 
-def _counted(batch: pa.RecordBatch, common: dict[str, list[bytes]]) -> tuple[list[str | None], list[Counts]]:
-    texts = batch.column("text").to_pylist()
-    langs = [_language(g, t, common) for g, t in zip(batch.column("lang").to_pylist(), texts, strict=True)]
+def _counted(texts: list[str | None], given: list[str | None], common: dict[str, list[bytes]]) -> tuple[list[str | None], list[Counts]]:
+    langs = [_language(g, t, common) for g, t in zip(given, texts, strict=True)]
     return langs, [measure(t, common.get(g, ())) for g, t in zip(langs, texts, strict=True)]
 
 
@@ -170,14 +168,14 @@ def count_all(docs: DataFrame, common: dict[str, list[bytes]]) -> DataFrame:
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
-                langs, found = _counted(batch, common)
+                langs, found = _counted(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), common)
                 cols = [batch.column("doc_id").cast(pa.int64()), pa.array(langs, pa.string())]
                 cols += [pa.array([getattr(c, k) for c in found], pa.int64()) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
                 cols += [pa.array([c.base_failed for c in found], pa.bool_())]
                 cols += [pa.array([getattr(c, k).tolist() for c in found], pa.list_(pa.int64())) for k in ("classes", "words")]
                 yield pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in COUNTED.split(", ")])
 
-    return docs.select("doc_id", "text", "lang").mapInArrow(run, COUNTED)
+    return text_batches(docs).select("doc_id", "text", "lang").mapInArrow(run, COUNTED)
 
 
 def references(counted: DataFrame, common: dict[str, list[bytes]]) -> References:
@@ -233,20 +231,20 @@ def judge(docs: DataFrame) -> DataFrame:
 
 def keep(docs: DataFrame) -> DataFrame:
     """The rows of docs that judge keeps, with all their columns. The texts are measured a second time, which is
-    cheaper than a shuffle of them."""
+    cheaper than a shuffle of them; only the verdicts come back from Python."""
     common = common_words(docs)
     ref = references(materialize(count_all(docs, common), "quality"), common)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
-                langs, found = _counted(batch, common)
+    def passes(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, given in batches:
+            out: list[bool] = []
+            for at in range(0, len(texts), 1000):
+                langs, found = _counted(texts.slice(at, 1000).to_pylist(), given.slice(at, 1000).to_pylist(), common)
                 by_class, by_word = distances(langs, [c.classes for c in found], [c.words for c in found], ref)
-                kept = verdict(np.array([c.n_words for c in found]), np.array([int(c.classes.sum()) for c in found]), np.array([c.base_failed for c in found], bool), by_class, by_word)
-                yield batch.filter(pa.array(kept, pa.bool_()))
+                out += verdict(np.array([c.n_words for c in found]), np.array([int(c.classes.sum()) for c in found]), np.array([c.base_failed for c in found], bool), by_class, by_word).tolist()
+            yield pa.array(out, pa.bool_())
 
-    return docs.mapInArrow(run, T.StructType(docs.schema.fields))
+    return text_batches(docs).where(F.arrow_udf(passes, "boolean")(F.col("text"), F.col("lang")))
 
 
 def query(docs: DataFrame) -> DataFrame:

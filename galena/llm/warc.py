@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, shared_path
+from .common import materialize, shared_path, text_batches
 
 #: Equal payloads from this many bytes on are stored once.
 LEAST_SHARED = 1000
@@ -139,7 +139,7 @@ def write_archives(pages: DataFrame, folder: str, least_shared: int = LEAST_SHAR
     page_id or url has no header, and a row without page_id is always a response. An attempt of a task writes files of
     its own, and the list, itself a table that Spark commits, names those of the attempt that counted.
     """
-    rows = pages.select("page_id", "url", F.col("html").cast("binary").alias("html"))
+    rows = text_batches(pages).select("page_id", "url", F.col("html").cast("binary").alias("html"))
     digest = F.sha1("html")
     shared = rows.where(F.octet_length("html") >= least_shared).groupBy(digest.alias("_digest")).agg(F.max("page_id").alias("_last"), F.count("page_id").alias("_n"))
     shared = materialize(shared.where("_n > 1").drop("_n"), "warc-shared")
