@@ -22,13 +22,15 @@ from .common import materialize, text_batches
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 CAPACITY, END_ID = 4096, 1
 #: A configuration covers this part of a length's pieces at most before prices change again.
-STEP = 0.25
+STEP = 0.1
 #: How fast the price of a length falls as its pieces are covered.
-ETA = 2.0
+ETA = 4.0
 #: Configurations taken at the same prices.
 COLUMNS = 192
-#: When as few pieces are left, best fit places them.
+#: When as few pieces are left, they are left to the rounding.
 LEAVE = 4000
+#: Parts of the solution that the rounding tries.
+KEEPS = (1.0, 0.9, 0.5, 0.0)
 #: Pieces of one length that one group of the ranking holds, about.
 RANK_ROWS = 200
 #: Parts of texts that are encoded in one go, between marks: a control character that is a token of its own.
@@ -175,8 +177,8 @@ def configurations(histogram: np.ndarray) -> list[tuple[dict[int, int], int]]:
     The program: use as few configurations as possible, so that each length is covered as often as it has pieces. Prices
     start in proportion to lengths and fall with exp(-ETA * part covered): multiplicative weights. At given prices, one
     knapsack table gives the dearest configuration, also with any one length set; those of the lengths that are least
-    covered enter, each as often as STEP allows, in whole numbers. Best fit places the rest, which does not grow with
-    the number of documents.
+    covered enter, each as often as STEP allows, in whole numbers. Rounding: of this solution the parts KEEPS are taken, best
+    fit places what each of them leaves, and the one with the fewest sequences is the plan.
     """
     capacity = len(histogram) - 1
     left, total = histogram.astype(np.int64).copy(), np.maximum(histogram, 1).astype(float)
@@ -206,24 +208,54 @@ def configurations(histogram: np.ndarray) -> list[tuple[dict[int, int], int]]:
             used += times
         if not used:
             break
-    return out + [(c, 1) for c in best_fit(left)]
+    plans = []
+    for keep in KEEPS:
+        part = [(c, int(keep * n)) for c, n in out]
+        rest = histogram.astype(np.int64).copy()
+        for c, n in part:
+            for k, a in c.items():
+                rest[k] -= a * n
+        plans.append([x for x in part if x[1]] + best_fit(rest))
+    return min(plans, key=lambda p: sum(n for _, n in p))
 
 
-def best_fit(left: np.ndarray) -> list[dict[int, int]]:
-    """Largest pieces first, each into the fullest sequence that can take it."""
-    capacity = len(left) - 1
-    bins: list[dict[int, int]] = []
-    free: list[tuple[int, int]] = []  # room and number of each open sequence, sorted
+def best_fit(histogram: np.ndarray) -> list[tuple[dict[int, int], int]]:
+    """Configurations and how often each is used: largest pieces first, each into the fullest sequence that can take it.
+
+    Sequences that hold the same are one entry with a count, so the work depends on the lengths, not on the pieces."""
+    capacity = len(histogram) - 1
+    filled: dict[int, list[tuple[dict[int, int], int]]] = {}  # by room
+    rooms: list[int] = []
+    done: list[tuple[dict[int, int], int]] = []
+
+    def put(config: dict[int, int], times: int, room: int) -> None:
+        if not room:
+            done.append((config, times))
+            return
+        if room not in filled:
+            filled[room] = []
+            insort(rooms, room)
+        filled[room].append((config, times))
+
     for k in range(capacity, 0, -1):
-        for _ in range(int(left[k])):
-            i = bisect_left(free, (k, -1))
-            room, b = free.pop(i) if i < len(free) else (capacity, len(bins))
-            if b == len(bins):
-                bins.append({})
-            bins[b][k] = bins[b].get(k, 0) + 1
-            if room > k:
-                insort(free, (room - k, b))
-    return bins
+        n = int(histogram[k])
+        while n:
+            i = bisect_left(rooms, k)
+            room = rooms[i] if i < len(rooms) else capacity
+            if i < len(rooms):
+                config, times = filled[room].pop()
+                if not filled[room]:
+                    del filled[room]
+                    rooms.pop(i)
+            else:
+                config, times = {}, n // (capacity // k) or 1
+            each = min(room // k, n)  # a sequence takes as many before the next one gets any
+            used = min(times, n // each)
+            if times > used:
+                put(config, times - used, room)
+            put({**config, k: each}, used, room - each * k)
+            n -= used * each
+    return done + [x for group in filled.values() for x in group]
 
 
 def make_plan(histogram: np.ndarray) -> Plan:
