@@ -23,8 +23,9 @@ WINDOW = 3
 COMMON_WORDS, LEARN_DOCS = 40, 400
 #: Character histograms are compared from LEAST_CHARS characters on, word histograms from LEAST_COMPARED words on.
 LEAST_CHARS, LEAST_COMPARED = 200, 100
-#: A text fails if a Jensen-Shannon distance (0 to 1) from its language passes these.
-MOST_CHAR_DISTANCE, MOST_WORD_DISTANCE = 0.32, 0.34
+#: A text fails if a Jensen-Shannon distance (0 to 1) from its language passes these; that of the words of a short text
+#: may be larger by WORD_SAMPLING / sqrt(words), as few words scatter.
+MOST_CHAR_DISTANCE, MOST_WORD_DISTANCE, WORD_SAMPLING = 0.32, 0.31, 0.6
 
 
 def _classes() -> np.ndarray:
@@ -198,7 +199,7 @@ def distances(langs: Sequence[str | None], classes: Sequence, words: Sequence, r
 
 def verdict(n_words: np.ndarray, n_chars: np.ndarray, base_failed: np.ndarray, by_class: np.ndarray, by_word: np.ndarray) -> np.ndarray:
     odd = (n_chars >= LEAST_CHARS) & (by_class > MOST_CHAR_DISTANCE)
-    odd |= (n_words >= LEAST_COMPARED) & (by_word > MOST_WORD_DISTANCE)
+    odd |= (n_words >= LEAST_COMPARED) & (by_word > MOST_WORD_DISTANCE + WORD_SAMPLING / np.sqrt(np.maximum(n_words, 1)))
     return ~(base_failed | odd)
 
 
