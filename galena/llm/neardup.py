@@ -362,12 +362,17 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE, percent: int = PERCEN
 
 def keep(docs: DataFrame, words: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row of docs for each group of near duplicates, with all its columns. Rows without doc_id stay."""
-    kept = near_duplicates(docs, words, percent).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_doc_id")).distinct()
-    kept = materialize(kept, "near-kept")
-    out = docs.join(kept, F.col("doc_id") == F.col("_doc_id"), "left_semi")
-    if not docs.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").isEmpty():
-        out = out.dropDuplicates(["doc_id"])
-    return out.unionByName(docs.where("doc_id IS NULL")) if not docs.where("doc_id IS NULL").isEmpty() else out
+    gone = near_duplicates(docs, words, percent).where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = materialize(gone, "near-gone")
+    level = bloom.fill(gone.select(F.col("_gone").alias("key")), gone.count(), 0.02, 2)
+    if level:  # only documents that may go are shuffled to find out
+        maybe = bloom.contains(F.col("doc_id"), level)
+        out = docs.where(~maybe).unionByName(docs.where(maybe).join(gone, F.col("doc_id") == F.col("_gone"), "left_anti"))
+    else:
+        out = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    if not docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
+        out = out.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(out.where("doc_id IS NULL"))
+    return out
 
 
 def query(docs: DataFrame) -> DataFrame:
