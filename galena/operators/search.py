@@ -21,7 +21,9 @@ from ..plans.options import QueryOptions
 #: Query sets up to this many bytes of floats are broadcast whole; larger ones are searched in blocks.
 BROADCAST_QUERY_BYTES = 64 << 20
 #: Rows of the base that one Arrow batch scores at once, times the block's queries, stay below this many products.
-PRODUCTS = 32_000_000
+PRODUCTS = 8_000_000
+#: Rows of the store that are multiplied at once.
+BLOCK_ROWS = 8192
 
 
 def check_query(vector: Sequence[float], dimension: int) -> list[float]:
@@ -109,6 +111,24 @@ def keys_matrix(metric: Metric, queries: np.ndarray, base: np.ndarray) -> np.nda
     return np.where(scale > 0, 1 - np.clip(product / np.where(scale > 0, scale, 1), -1, 1), 1.0)
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches put together to BLOCK_ROWS rows at least, but for the last."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+        if sum(x.num_rows for x in held) >= BLOCK_ROWS:
+            yield pa.Table.from_batches(held)
+            held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _loose(edge: np.ndarray) -> np.ndarray:
+    """A little above, for rounding."""
+    return edge + 1e-9 * (1 + np.abs(edge))
+
+
 def best_rows(keys: np.ndarray, slots: np.ndarray, k: int, slack: float) -> tuple[np.ndarray, np.ndarray]:
     """Query and base row of all pairs among a query's k smallest keys, or within slack of the k-th."""
     if keys.shape[1] <= k:
@@ -139,15 +159,24 @@ def knn_blocks(store: DataFrame, queries: DataFrame, metric: Metric, options: Qu
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, m = shared.value
-        for b in batches:
-            if not b.num_rows or not len(ids):
-                continue
-            base = b.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1).astype(float)
-            slots = b.column("slot").to_numpy()
-            step = max(1, PRODUCTS // b.num_rows)
+        edge = np.full(len(ids), np.inf)  # of each query, a key that its k best of this task do not exceed
+        held = []
+        for t in _blocks(batches):
+            wide = t.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
+            base, slots, rows = wide.astype(float), t.column("slot").to_numpy(), t.column("id").to_numpy()
+            step = max(1, PRODUCTS // t.num_rows)
             for i in range(0, len(ids), step):
-                q, r = best_rows(keys_matrix(metric, m[i : i + step], base), slots, k, 1e-9)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i + q]), pa.array(slots[r]), b.column("id").take(pa.array(r)), b.column("embedding").take(pa.array(r))], ["qid", "slot", "id", "embedding"])
+                keys = keys_matrix(metric, m[i : i + step], base)
+                part = edge[i : i + step]
+                if keys.shape[1] >= k:
+                    np.minimum(part, np.partition(keys, k - 1, axis=1)[:, k - 1], out=part)
+                q, r = np.nonzero(keys <= _loose(part)[:, None])
+                held.append((q + i, keys[q, r], slots[r], rows[r], wide[r]))
+        for q, keys, slots, rows, wide in held:
+            at = np.flatnonzero(keys <= _loose(edge)[q])
+            vectors = wide[at].astype(np.float32)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * vectors.shape[1]), pa.array(vectors.ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[q[at]]), pa.array(slots[at]), pa.array(rows[at]), lists], ["qid", "slot", "id", "embedding"])
 
     rows = _matching(store, options).select("slot", "id", "embedding")
     found = rows.mapInArrow(search, "qid long, slot long, id long, embedding array<float>")
