@@ -25,6 +25,8 @@ class Rule(NamedTuple):
 RULES = (Rule("block", "net", "/"), Rule("allow", "example.net", "/en/"), Rule("block", "example.com", "/de/"), Rule("allow", "org", "/fr/"))
 #: Listed hosts: these and all their subdomains are blocked where no rule fits.
 LISTED = ("cheap-pills.example.com", "casino-win.example.org", "free-bets.example.com", "spam-farm.example.org", "ads-track.example.org")
+#: Listed sites: a domain of the corpus that starts with one of these labels is listed, whatever it ends in.
+SITES = ("cheap-pills", "casino-win", "free-bets", "spam-farm", "ads-track", "adult-x")
 
 
 def host_of(url: Column) -> Column:
@@ -117,8 +119,17 @@ def judge(pages: DataFrame, rules: Sequence[Rule], listed: DataFrame) -> DataFra
     return out.withColumn("verdict", verdict).select(*rest, *new)
 
 
+def block_list(pages: DataFrame) -> DataFrame:
+    """LISTED, and the hosts of pages and domains above them that are SITES with any ending; a column key."""
+    named = pages.sparkSession.createDataFrame([(h,) for h in LISTED], "key string")
+    hosts = pages.select(host_of(F.col("url")).alias("h")).distinct()
+    keys = hosts.select(F.explode(suffixes(F.col("h"))).alias("key"))
+    site = F.substring_index("key", ".", 1)
+    return named.union(keys.where(site.isin(*SITES) & (site != F.col("key"))).distinct())
+
+
 def query(pages: DataFrame) -> DataFrame:
-    listed = pages.sparkSession.createDataFrame([(h,) for h in LISTED], "key string")
+    listed = block_list(pages)
     return judge(pages.select("page_id", "url"), RULES, listed).select("page_id", "host", "path", "rule", "verdict")
 
 

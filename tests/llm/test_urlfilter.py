@@ -1,6 +1,7 @@
 import re
 import string
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -54,3 +55,20 @@ def test_a_list_beyond_the_filter_is_matched_by_a_join(spark, monkeypatch):
 def test_any_text(spark, urls):
     df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
     assert {(r["page_id"], r["host"], r["path"], r["rule"], r["verdict"]) for r in urlfilter.query(df).collect()} == {(i, *brute(u)) for i, u in enumerate(urls)}
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_planted_sites_are_blocked_on_every_table(spark, sf):
+    pages = spark.read.parquet(f"/root/testdata/{sf}/pages.parquet")
+    hosts = pages.select(urlfilter.host_of(F.col("url")).alias("h")).distinct()
+    c = urlfilter.Cascade(urlfilter.block_list(pages), hosts.select(F.explode(urlfilter.suffixes(F.col("h"))).alias("key")))
+    assert c.exact and c.levels
+    planted = [r for r in urlfilter.query(pages).collect() if any(f".{s}." in f".{r['host']}" for s in ("cheap-pills", "casino-win", "free-bets", "spam-farm", "ads-track", "adult-x"))]
+    assert planted and all(r["verdict"] == "block" for r in planted if r["rule"] is None)
+    assert all(r["verdict"] == "block" for r in planted if r["rule"] not in ("example.net/en/", "org/fr/"))
+
+
+def test_sites_end_in_anything(spark):
+    urls = ["http://m.casino-win.example.com/x", "http://adult-x.test/", "http://notadult-x.test/", "http://adult-x/", "http://a.adult-x.example.org/fr/x"]
+    got = {r["page_id"]: r["verdict"] for r in urlfilter.query(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
+    assert got == {0: "block", 1: "block", 2: "allow", 3: "allow", 4: "allow"}
