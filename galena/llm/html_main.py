@@ -257,33 +257,40 @@ def text_size(node: Node) -> int:
     return total
 
 
-def main_root(root: Node) -> Node:
-    """The element whose tag or marks say that it holds the main text; of several the one with most, else the page."""
-    rank, best, found, stack = 0, 0, root, [root]
+def main_roots(root: Node) -> list[Node]:
+    """The elements whose tag or marks say that they hold the main text: all articles, else all main elements, else all
+    marked ones; the main elements also where they hold more than twice the articles' text. None may stand in another."""
+    ranked: list[list[Node]] = [[], [], []]
+    stack: list[tuple[Node, tuple[bool, ...]]] = [(root, (False, False, False))]
     while stack:
-        for k in stack.pop().elements():
+        node, under = stack.pop()
+        for k in reversed(node.elements()):
             if is_aside(k):
                 continue
-            r = 3 if k.tag == "article" else 2 if k.tag == "main" or "main" in k.mark.split() else 1 if k.mark and not MAIN_WORDS.isdisjoint(k.mark.split()) else 0
-            if r and r >= rank:
-                size = text_size(k)
-                if size and (r > rank or size > best):
-                    rank, best, found = r, size, k
-            stack.append(k)
-    return found
-
-
-def blocks(root: Node) -> list[tuple[str, bool]]:
-    """The text of each block in page order, and whether all of it is template. Asides are left out."""
-    out: list[tuple[str, bool]] = []
+            r = 0 if k.tag == "article" else 1 if k.tag == "main" or "main" in k.mark.split() else 2 if k.mark and not MAIN_WORDS.isdisjoint(k.mark.split()) else 3
+            if r < 3 and not under[r] and text_size(k):
+                ranked[r].append(k)
+            stack.append((k, tuple(u or i == r for i, u in enumerate(under))))
+    articles, mains, marked = ranked
+    if articles and sum(map(text_size, mains)) > 2 * sum(map(text_size, articles)):
+        return mains
+    return articles or mains or marked or [root]
+
+
+def blocks(root: Node, roots: list[Node]) -> list[tuple[str, bool, bool]]:
+    """The text of each block in page order, whether all of it is template, and whether it stands in one of roots.
+    Asides are left out."""
+    out: list[tuple[str, bool, bool]] = []
     parts: list[str] = []
     fixed = True
+    main = {id(r) for r in roots}
+    inside = id(root) in main
 
     def end() -> None:
         nonlocal parts, fixed
         text = _SPACE.sub(" ", "".join(parts)).strip()
         if text:
-            out.append((text, fixed))
+            out.append((text, fixed, inside))
         parts, fixed = [], True
 
     stack: list = [(root, iter(root.kids))]
@@ -298,30 +305,36 @@ def blocks(root: Node) -> list[tuple[str, bool]]:
             elif k.tag == "br":
                 parts.append(" ")
             elif not is_aside(k):
-                if k.tag in BLOCK:
+                if k.tag in BLOCK or id(k) in main:
                     end()
+                inside = inside or id(k) in main
                 stack.append((k, iter(k.kids)))
                 break
         else:
-            if node.tag in BLOCK:
+            if node.tag in BLOCK or id(node) in main:
                 end()
             stack.pop()
+            if id(node) in main:
+                inside = any(id(n) in main for n, _ in stack)
     end()
     return out
 
 
 def extract(source: str | None, wrapper: Slot | None) -> str:
-    """The main text: the blocks of the main element that vary within the host. Where more than MOST_FIXED of the text
-    would be template, the host has copies of the page, and all of it is the text."""
+    """The main text: the blocks of the page that vary within the host, wherever they stand. Where more than MOST_FIXED of
+    the text of the main elements would be template, the host has copies of the page, and all of that is the text. Without a
+    wrapper, the text is that of the main elements."""
     if not source:
         return ""
     root = parse(source)
     if wrapper:
         apply([root], wrapper, wrapper.pages, {})
-    found = blocks(main_root(root))
-    fixed = sum(len(t) for t, f in found if f)
-    drop = fixed <= MOST_FIXED * sum(len(t) for t, _ in found)
-    return "\n\n".join(t for t, f in found if not (f and drop))
+    found = blocks(root, main_roots(root))
+    if not wrapper:
+        return "\n\n".join(t for t, _, inside in found if inside)
+    fixed = sum(len(t) for t, f, inside in found if f and inside)
+    drop = fixed <= MOST_FIXED * sum(len(t) for t, _, inside in found if inside)
+    return "\n\n".join(t for t, f, inside in found if not f or inside and not drop)
 
 
 def wrappers(pages: DataFrame) -> DataFrame:

@@ -50,6 +50,23 @@ def test_many_siblings_align():
     assert "q9" in H.extract(src.replace("p9<", "q9<"), w)
 
 
+def test_all_articles_and_what_varies_beside_them_are_content():
+    def two(i):
+        return f"<body><div><p>Site slogan</p></div><article><p>First {i} {LONG}</p></article><article><p>Second {i}</p></article><div><p>Beside {i}</p></div><nav>n{i}</nav></body>"
+
+    want = f"First 3 {LONG}\n\nSecond 3"
+    assert H.extract(two(3), H.induce([two(i) for i in range(6)])) == want + "\n\nBeside 3"
+    assert H.extract(two(3), None) == want
+
+
+def test_a_short_article_does_not_replace_the_main_element():
+    def long(i):
+        return f"<body><main><h1>Head {i}</h1><p>Text {i} {LONG}</p><article><p>Teaser {i}</p></article><p>More {i} {LONG}</p></main><p>Imprint</p></body>"
+
+    want = f"Head 3\n\nText 3 {LONG}\n\nTeaser 3\n\nMore 3 {LONG}"
+    assert H.extract(long(3), H.induce([long(i) for i in range(6)])) == H.extract(long(3), None) == want
+
+
 @given(st.text(st.sampled_from("<>/!-pdivarticle \"'=&;x"), max_size=80))
 def test_any_markup_parses(src):
     text = H.extract(src, None)
