@@ -46,19 +46,22 @@ ASIDE_WORDS = frozenset(
     "cookie cookies consent notice notices alert popup modal overlay comment comments disqus respond reply replies share sharing social newsletter subscribe signup related".split()
 )
 MAIN_WORDS = frozenset("article main content post entry story".split())
-_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|</[^a-zA-Z>][^>]*>|</>", re.S | re.I)
+#: Parts of a class, id or role that make the rest of it a state of the element, as in no-sidebar or header-fixed.
+STATE_WORDS = frozenset("no not non without has have with is hide show open opened closed fixed sticky left right top bottom hidden visible on off enabled disabled active collapsed expanded free layout".split())
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(?:svg|math)(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?<=/)>|<({RAW})(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|</[^a-zA-Z>][^>]*>|</>", re.S | re.I)
 _MARK = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _PARTS = re.compile(r"[a-z0-9]+")
 _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    """An element. kids holds elements and texts in order; mark the words of its class, id and role."""
+    """An element. kids holds elements and texts in order; mark the words of its class, id and role. aside says whether it
+    holds no main text: 2 if its tag or a whole class, id or role says so, 1 if a part of one does."""
 
-    __slots__ = ("constant", "kids", "mark", "tag")
+    __slots__ = ("aside", "constant", "kids", "mark", "tag")
 
-    def __init__(self, tag: str, mark: str = ""):
-        self.tag, self.mark, self.kids, self.constant = tag, mark, [], False
+    def __init__(self, tag: str, mark: str = "", aside: int = 0):
+        self.tag, self.mark, self.kids, self.constant, self.aside = tag, mark, [], False, aside
 
     @property
     def sign(self) -> str:
@@ -72,6 +75,40 @@ class Node:
         return _SPACE.sub(" ", entities.unescape(" ".join(k for k in self.kids if k.__class__ is str))).strip()
 
 
+def aside_by(tag: str, tokens: list[list[str]]) -> int:
+    """What the tag, and the classes, ids and roles as lists of their parts, say; see Node."""
+    if tag in ASIDE:
+        return 2
+    if tag in ("html", "body", "main"):
+        return 0
+    if any(len(t) == 1 and t[0] in ASIDE_WORDS for t in tokens):
+        return 2
+    if any(len(t) == 1 and t[0] in MAIN_WORDS for t in tokens):
+        return 0
+    return int(any(not ASIDE_WORDS.isdisjoint(t) and STATE_WORDS.isdisjoint(t) for t in tokens))
+
+
+def clear_asides(root: Node) -> None:
+    """An element that is an aside by a part of a mark only is none if it holds most of the page's text and is an article,
+    or holds a main element, a first heading or an article that is no aside."""
+    order, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        order.append(node)
+        stack += [k for k in node.elements() if k.aside < 2]
+    if not any(n.aside for n in order):
+        return
+    held: dict[int, tuple[int, bool]] = {}
+    for n in reversed(order):
+        below = [held[id(k)] for k in n.elements() if id(k) in held]
+        size = sum(len(k) for k in n.kids if k.__class__ is str) + sum(h[0] for h in below)
+        held[id(n)] = size, n.tag in ("main", "h1") or n.tag == "article" and not n.aside or any(h[1] for h in below)
+    for n in order:
+        size, marked = held[id(n)]
+        if n.aside and (marked or n.tag == "article") and 2 * size > held[id(root)][0]:
+            n.aside = 0
+
+
 def parse(source: str) -> Node:
     """The tree of a page. Scripts, styles, comments and the like leave nothing; unclosed elements end where HTML ends them."""
     root = Node("html")
@@ -111,13 +148,14 @@ def parse(source: str) -> Node:
                     break
             if tag == "body" and stack[-1].tag == "head":
                 stack.pop()
-        marks = " ".join(sorted({w for x in _MARK.finditer(m[4]) for w in _PARTS.findall((x[1] or x[2] or x[3] or "").lower())})) if m[4] else ""
-        node = Node(tag, marks)
+        tokens = [_PARTS.findall(w) for x in _MARK.finditer(m[4]) for w in (x[1] or x[2] or x[3] or "").lower().split()] if m[4] else []
+        node = Node(tag, " ".join(sorted({w for t in tokens for w in t})), aside_by(tag, tokens))
         stack[-1].kids.append(node)
         if tag not in VOID and not m[4].endswith("/") and len(stack) < MOST_DEPTH:
             stack.append(node)
     if at < len(source):
         stack[-1].kids.append(source[at:])
+    clear_asides(root)
     return root
 
 
@@ -242,7 +280,7 @@ def apply(run: list[Node], slot: Slot, whole: int, memo: dict) -> None:
 
 
 def is_aside(node: Node) -> bool:
-    return node.tag in ASIDE or bool(node.mark) and not ASIDE_WORDS.isdisjoint(node.mark.split())
+    return node.aside > 0
 
 
 def text_size(node: Node) -> int:

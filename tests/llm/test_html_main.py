@@ -67,6 +67,18 @@ def test_a_short_article_does_not_replace_the_main_element():
     assert H.extract(long(3), H.induce([long(i) for i in range(6)])) == H.extract(long(3), None) == want
 
 
+def test_states_of_elements_are_no_asides():
+    for outer in ('<body class="no-sidebar">', '<body class="header">', '<div id="page" class="header-fixed">', '<article class="post has-comments">', '<main class="with-sidebar">', '<div class="content ad-free">', '<article class="header-large">', '<div class="banner-layout">', '<div class="sidebar-two"><h1></h1>'):
+        pages = [f"{outer}<p>Text {i} {LONG}</p><div class='comment-list'><article class='comment-body'>Reply {i}</article></div><p class='ad'>Buy {i}</p>" for i in range(5)]
+        assert H.extract(pages[1], H.induce(pages)) == H.extract(pages[1], None) == f"Text 1 {LONG}"
+    assert H.extract('<p>Text</p><div class="cookie-notice">c</div><div class="sidebar">s</div><article class="related">r</article>', None) == "Text"
+
+
+def test_self_closed_drawings_end_at_their_tag():
+    assert H.extract('<article><svg class="x" /><p>One</p><math a="b>"/><p>Two</p><svg><path d="/"/>drawn</svg><p>Three</p><svg/></article>', None) == "One\n\nTwo\n\nThree"
+    assert H.extract("<article><p>One</p><svg><path/></article>", None) == "One"
+
+
 @given(st.text(st.sampled_from("<>/!-pdivarticle \"'=&;x"), max_size=80))
 def test_any_markup_parses(src):
     text = H.extract(src, None)
