@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import json
 import re
-import zlib
 from bisect import bisect_left
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,8 +19,13 @@ from pyspark.sql.window import Window
 from .common import materialize, text_batches
 from .urlfilter import host_of
 
-#: A host's wrapper is induced from as many of its pages at most, taken by a hash; hosts with fewer than LEAST_PAGES have none.
+#: The slots of a host's wrapper come from as many of its different pages at most, taken by a hash; hosts with fewer than
+#: LEAST_PAGES different ones have none.
 SAMPLE_PAGES, LEAST_PAGES = 8, 3
+#: A text at a path is template if at least this percentage of all different pages of the host hold it.
+CONSTANT_PERCENT = 95
+#: Hashes of pages that a task remembers to read copies once.
+SEEN_PAGES = 100_000
 #: Wrappers up to as many bytes in all are broadcast; beyond, they are joined by a shuffle.
 BROADCAST_BYTES = 8 << 20
 
@@ -171,28 +177,55 @@ def runs(nodes: list[Node]) -> list[list[Node]]:
 
 
 class Slot:
-    """A node of a wrapper: its sign, the pages that have it, the hashes of texts that it holds on all of them, and its
-    slots."""
+    """A node of a wrapper: its sign and its slots."""
 
-    __slots__ = ("pages", "same", "sign", "slots")
+    __slots__ = ("sign", "slots")
 
-    def __init__(self, sign: str, pages: int, same: set[int], slots: list[Slot]):
-        self.sign, self.pages, self.same, self.slots = sign, pages, same, slots
+    def __init__(self, sign: str, slots: list[Slot]):
+        self.sign, self.slots = sign, slots
 
     def plain(self) -> list:
-        return [self.sign, self.pages, sorted(self.same), [s.plain() for s in self.slots]]
+        return [self.sign, [s.plain() for s in self.slots]]
 
     @classmethod
     def of(cls, plain: list) -> Slot:
-        return cls(plain[0], plain[1], set(plain[2]), [cls.of(p) for p in plain[3]])
+        return cls(plain[0], [cls.of(p) for p in plain[1]])
 
 
-def text_hash(node: Node) -> int:
-    return zlib.crc32(node.text().encode("utf-8", "surrogatepass"))
+class Wrapper(NamedTuple):
+    """slots: the aligned tree of a sample of a host's pages. constant: the hashes of paths and texts that are template,
+    counted over all pages of the host."""
+
+    slots: Slot
+    constant: frozenset[int]
 
 
 def slot_of(run: list[Node]) -> Slot:
-    return Slot(run[0].sign, 1, set(map(text_hash, run)), [slot_of(r) for r in runs(run[0].elements())])
+    return Slot(run[0].sign, [slot_of(r) for r in runs(run[0].elements())])
+
+
+def step(path: bytes, node: Node) -> bytes:
+    """The path of signs that leads to a node, as a hash."""
+    return hashlib.blake2b(path + node.sign.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
+def held_at(path: bytes, text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(path + text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
+def holds(source: str) -> set[int]:
+    """The hashes of all paths and texts of a page, without asides."""
+    root = parse(source)
+    out: set[int] = set()
+    stack = [(root, step(b"", root))]
+    while stack:
+        node, path = stack.pop()
+        if text := node.text():
+            out.add(held_at(path, text))
+        for run in runs([k for k in node.elements() if not is_aside(k)]):
+            below = step(path, run[0])
+            stack += [(k, below) for k in run]
+    return out
 
 
 def match(run: list[Node], slot: Slot, memo: dict) -> int:
@@ -242,8 +275,6 @@ def align(page: list[list[Node]], slots: list[Slot], memo: dict) -> tuple[int, l
 
 def merge(run: list[Node], slot: Slot, memo: dict) -> None:
     """Take another page's run into a slot; what has no counterpart becomes an optional slot."""
-    slot.pages += 1
-    slot.same &= set(map(text_hash, run))
     page = runs(run[0].elements())
     pairs = align(page, slot.slots, memo)[1]
     paired = dict(pairs)
@@ -259,8 +290,8 @@ def merge(run: list[Node], slot: Slot, memo: dict) -> None:
     slot.slots = out + slot.slots[j:]
 
 
-def induce(pages: list[str]) -> Slot | None:
-    """The wrapper of a host's pages. Copies of a page count once; None for fewer than LEAST_PAGES different ones."""
+def skeleton(pages: list[str]) -> Slot | None:
+    """The slots of different pages; None for fewer than LEAST_PAGES."""
     trees = [parse(p) for p in dict.fromkeys(pages)]
     if len(trees) < LEAST_PAGES:
         return None
@@ -270,13 +301,25 @@ def induce(pages: list[str]) -> Slot | None:
     return out
 
 
-def apply(run: list[Node], slot: Slot, whole: int, memo: dict) -> None:
-    """Mark the nodes of a page whose text is the same on all pages of the wrapper."""
+def induce(pages: list[str]) -> Wrapper | None:
+    """The wrapper of a host's pages, all aligned. Copies of a page count once; None for fewer than LEAST_PAGES different ones."""
+    slots = skeleton(pages)
+    if slots is None:
+        return None
+    different = dict.fromkeys(pages)
+    found = Counter(x for p in different for x in holds(p))
+    return Wrapper(slots, frozenset(x for x, n in found.items() if 100 * n >= CONSTANT_PERCENT * len(different)))
+
+
+def apply(run: list[Node], slot: Slot, path: bytes, constant: frozenset[int], memo: dict) -> None:
+    """Mark the nodes of a page that have a slot and whose text is template."""
+    path = step(path, run[0])
     for node in run:
-        node.constant = slot.pages == whole and bool(slot.same) and text_hash(node) in slot.same
+        text = node.text()
+        node.constant = bool(text) and held_at(path, text) in constant
         page = runs(node.elements())
         for i, j in align(page, slot.slots, memo)[1]:
-            apply(page[i], slot.slots[j], whole, memo)
+            apply(page[i], slot.slots[j], path, constant, memo)
 
 
 def is_aside(node: Node) -> bool:
@@ -358,7 +401,7 @@ def blocks(root: Node, roots: list[Node]) -> list[tuple[str, bool, bool]]:
     return out
 
 
-def extract(source: str | None, wrapper: Slot | None) -> str:
+def extract(source: str | None, wrapper: Wrapper | None) -> str:
     """The main text: the blocks of the page that vary within the host, wherever they stand. Where more than MOST_FIXED of
     the text of the main elements would be template, the host has copies of the page, and all of that is the text. Without a
     wrapper, the text is that of the main elements."""
@@ -366,7 +409,7 @@ def extract(source: str | None, wrapper: Slot | None) -> str:
         return ""
     root = parse(source)
     if wrapper:
-        apply([root], wrapper, wrapper.pages, {})
+        apply([root], wrapper.slots, b"", wrapper.constant, {})
     found = blocks(root, main_roots(root))
     if not wrapper:
         return "\n\n".join(t for t, _, inside in found if inside)
@@ -375,28 +418,61 @@ def extract(source: str | None, wrapper: Slot | None) -> str:
     return "\n\n".join(t for t, f, inside in found if not f or inside and not drop)
 
 
+def different_pages(pages: DataFrame) -> DataFrame:
+    """host, at (a hash of html), page_id (of one row), held (see holds) for each different page of each host."""
+    rows = text_batches(pages).where("html <> ''").select(host_of(F.col("url")).alias("host"), F.xxhash64("html").alias("at"), F.col("page_id").cast("long").alias("page_id"), "html")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[str, int]] = set()
+        for b in batches:
+            hosts, ats = b.column("host").to_pylist(), b.column("at").to_pylist()
+            new = []
+            for i, key in enumerate(zip(hosts, ats, strict=True)):
+                if key not in seen:
+                    if len(seen) >= SEEN_PAGES:
+                        seen.clear()
+                    seen.add(key)
+                    new.append(i)
+            b = b.take(pa.array(new, pa.int64()))
+            held = pa.array([sorted(holds(h)) for h in b.column("html").to_pylist()], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column("host"), b.column("at"), b.column("page_id"), held], ["host", "at", "page_id", "held"])
+
+    return rows.mapInArrow(run, "host string, at long, page_id long, held array<long>").groupBy("host", "at").agg(F.min("page_id").alias("page_id"), F.first("held").alias("held"))
+
+
+def constants(different: DataFrame) -> DataFrame:
+    """host, constant (comma-separated) for each host with enough different pages, counted over all of them."""
+    total = different.groupBy("host").agg(F.count("*").alias("total")).where(F.col("total") >= LEAST_PAGES)
+    counts = different.select("host", F.explode("held").alias("x")).groupBy("host", "x").agg(F.count("*").alias("n")).where(100 * F.col("n") >= CONSTANT_PERCENT * LEAST_PAGES)
+    counts = counts.join(total, "host").where(100 * F.col("n") >= CONSTANT_PERCENT * F.col("total"))
+    return counts.groupBy("host").agg(F.concat_ws(",", F.array_sort(F.collect_list("x")).cast("array<string>")).alias("constant"))
+
+
 def wrappers(pages: DataFrame) -> DataFrame:
-    """host, wrapper (JSON) for each host with enough pages."""
-    keys = pages.where("html IS NOT NULL").select(host_of(F.col("url")).alias("host"), "page_id", F.xxhash64("page_id", "url").alias("_at"))
-    order = Window.partitionBy("host").orderBy("_at", "page_id")
-    picked = keys.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= SAMPLE_PAGES).where("page_id IS NOT NULL").select(F.col("host").alias("_host"), F.col("page_id").alias("_page")).distinct()
-    picked = materialize(picked, "html-sample")
-    found = pages.join(picked, F.col("page_id") == F.col("_page")).where(host_of(F.col("url")) == F.col("_host")).select(F.col("_host").alias("host"), "page_id", "html")
+    """host, wrapper (JSON) for each host with enough different pages."""
+    different = materialize(different_pages(pages), "html-pages")
+    order = Window.partitionBy("host").orderBy("at")
+    picked = different.select("host", "at", "page_id").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= SAMPLE_PAGES)
+    picked = materialize(picked.select(F.col("host").alias("_host"), F.col("at").alias("_at"), F.col("page_id").alias("_page")), "html-sample")
+    rows = pages.where("html <> ''").select(host_of(F.col("url")).alias("host"), F.xxhash64("html").alias("at"), F.col("page_id").cast("long").alias("page_id"), "html")
+    rows = rows.join(picked, (F.col("host") == F.col("_host")) & (F.col("at") == F.col("_at")) & F.col("page_id").eqNullSafe(F.col("_page")))
+    rows = rows.groupBy("host", "at").agg(F.first("html").alias("html"))
 
     def run(t: pa.Table) -> pa.Table:
-        rows = sorted(zip(t.column("page_id").to_pylist(), t.column("html").to_pylist(), strict=True))
-        wrapper = induce([h for _, h in rows])
-        return pa.table({"host": pa.array(t.column("host").to_pylist()[: wrapper is not None], pa.string()), "wrapper": pa.array([json.dumps(wrapper.plain())] if wrapper else [], pa.string())})
+        pages = sorted(zip(t.column("at").to_pylist(), t.column("html").to_pylist(), strict=True))
+        slots = skeleton([h for _, h in pages])
+        return pa.table({"host": pa.array(t.column("host").to_pylist()[: slots is not None], pa.string()), "slots": pa.array([json.dumps(slots.plain())] if slots else [], pa.string())})
 
-    return found.groupBy("host").applyInArrow(run, "host string, wrapper string")
+    found = rows.groupBy("host").applyInArrow(run, "host string, slots string").join(constants(different), "host", "left")
+    return found.select("host", F.concat(F.lit("["), "slots", F.lit(",["), F.coalesce("constant", F.lit("")), F.lit("]]")).alias("wrapper"))
 
 
 def extract_main(pages: DataFrame) -> DataFrame:
     """pages (page_id, url, html) -> a row per row: page_id, url, text, n_chars.
 
     A null or empty html has an empty text. A null url counts as of the host with the empty name; a null page_id stays
-    null. Repeated rows give repeated results, and an empty table an empty one. A host's wrapper comes from a bounded
-    sample of its pages and is applied to all of them.
+    null. Repeated rows give repeated results, and an empty table an empty one. What is template on a host is
+    counted over all its different pages; a bounded sample of them gives the slots that each page is aligned with.
     """
     found = materialize(wrappers(pages), "html-wrappers")
     size = found.agg(F.coalesce(F.sum(F.length("wrapper") + F.length("host")), F.lit(0))).first()[0]
@@ -405,7 +481,7 @@ def extract_main(pages: DataFrame) -> DataFrame:
     rows = rows.join(F.broadcast(found) if size <= BROADCAST_BYTES else found, F.col("_key") == F.col("_host"), "left").select("page_id", "url", "html", "wrapper")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, Slot] = {}
+        known: dict[str, Wrapper] = {}
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 b = whole.slice(at, 500)
@@ -414,7 +490,8 @@ def extract_main(pages: DataFrame) -> DataFrame:
                     if w and w not in known:
                         if len(known) > 200:
                             known.clear()
-                        known[w] = Slot.of(json.loads(w))
+                        slots, constant = json.loads(w)
+                        known[w] = Wrapper(Slot.of(slots), frozenset(constant))
                     texts.append(extract(source, known[w] if w else None))
                 yield pa.RecordBatch.from_arrays([b.column("page_id").cast(pa.int64()), b.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 

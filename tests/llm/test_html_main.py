@@ -108,3 +108,24 @@ def test_rows(spark):
     assert H.query(df).count() == len(rows) and got[21]["text"] == got[22]["text"] == "" and got[22]["n_chars"] == 0
     assert got[20]["text"] == "no url" and got[None]["text"] == f"no id {LONG}" and got[30]["n_chars"] == 1_499_999 and got[4]["text"].startswith("Text 0.")
     assert H.query(df.where("false")).collect() == []
+
+
+def test_template_is_counted_over_all_different_pages_of_a_host(spark):
+    def at(i, often=""):
+        return f"<body><article><h1>Head {i}</h1><p>Text {i} {LONG}</p>{often}<p>Imprint</p></article></body>"
+
+    copies = [(i, "http://copies/", at(0)) for i in range(400)] + [(1000 + i, "http://copies/", at(i)) for i in range(1, 41)]
+    often = [(2000 + i, "http://often/", at(i, "" if i % 5 == 0 else "<p>Often said</p>")) for i in range(60)]
+    odd = [(3000 + i, "http://odd/", at(i) if i else "<p>Not found</p>") for i in range(60)]
+    got = {r["page_id"]: r["text"] for r in H.query(spark.createDataFrame(copies + often + odd, "page_id long, url string, html string")).collect()}
+    for i in range(1, 41):
+        assert got[1000 + i] == got[3000 + i] == f"Head {i}\n\nText {i} {LONG}"
+    assert all(got[2000 + i].endswith("Often said") == (i % 5 > 0) and "Imprint" not in got[2000 + i] for i in range(60))
+    assert got[3000] == "Not found" and len(got) == 560
+
+
+def test_a_passage_that_only_the_sample_shares_is_content(spark, monkeypatch):
+    monkeypatch.setattr(H, "SAMPLE_PAGES", 3)
+    rows = [(i, "http://h/", f"<article><p>Text {i} {LONG}</p>{'' if i % 10 == 0 else '<p>Often said</p>'}</article>") for i in range(40)]
+    got = {r["page_id"]: r["text"] for r in H.query(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i].endswith("Often said") for i in range(40) if i % 10)
