@@ -19,8 +19,8 @@ LEAST_WORDS = 50
 #: Base: a text fails if more than this percentage of its words stand in repeated windows.
 REPEAT_PERCENT = 50
 WINDOW = 3
-#: Common words of a language, found in about LEARN_DOCS of its documents, taken by a hash of doc_id.
-COMMON_WORDS, LEARN_DOCS = 40, 400
+#: Common words of a language, of which it has COMMON_WORDS. A task hands on its counts when it holds those of MOST_COUNTS words.
+COMMON_WORDS, MOST_COUNTS = 40, 200_000
 #: Character histograms are compared from LEAST_CHARS characters on, word histograms from LEAST_COMPARED words on.
 LEAST_CHARS, LEAST_COMPARED = 200, 100
 #: A text fails if a Jensen-Shannon distance (0 to 1) from its language passes these; that of the words of a short text
@@ -116,23 +116,25 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.where(p.sum(axis=1) > 0, np.sqrt(np.maximum(d / 2, 0)), 0)
 
 
-def common_words(docs: DataFrame, n_words: int = COMMON_WORDS, learn_docs: int = LEARN_DOCS) -> dict[str, list[bytes]]:
-    """The words that most texts of a language hold, in a sample of about learn_docs texts of each language."""
+def common_words(docs: DataFrame, n_words: int = COMMON_WORDS) -> dict[str, list[bytes]]:
+    """The words that most texts of a language hold, counted over all its texts."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    n = known.groupBy("lang").agg(F.count("*").alias("n"))
-    share = n.select(F.col("lang").alias("_lang"), (F.lit(float(learn_docs)) / F.col("n")).alias("_share"))
-    at = F.pmod(F.xxhash64("doc_id", F.lit("common")), F.lit(1 << 30)) / float(1 << 30)
-    chosen = known.select("lang", "text", at.alias("_at")).join(F.broadcast(share) if n.count() <= 10_000 else share, F.col("lang") == F.col("_lang")).where("_at < _share")
+
+    def rows(found: dict[str, Counter]) -> pa.RecordBatch:
+        each = [(lang, w, n) for lang, c in found.items() for w, n in c.items()]
+        return pa.RecordBatch.from_pydict({"lang": pa.array([r[0] for r in each], pa.string()), "word": pa.array([r[1] for r in each], pa.binary()), "n": pa.array([r[2] for r in each], pa.int64())})
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, Counter] = defaultdict(Counter)
         for b in batches:
             for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
                 found[lang].update(set(text.encode("utf-8", "surrogatepass").lower().split()))
-        rows = [(lang, w, n) for lang, c in found.items() for w, n in c.items()]
-        yield pa.RecordBatch.from_pydict({"lang": pa.array([r[0] for r in rows], pa.string()), "word": pa.array([r[1] for r in rows], pa.binary()), "n": pa.array([r[2] for r in rows], pa.int64())})
+            if sum(map(len, found.values())) > MOST_COUNTS:
+                yield rows(found)
+                found = defaultdict(Counter)
+        yield rows(found)
 
-    sums = chosen.select("lang", "text").mapInArrow(count, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    sums = text_batches(known).select("lang", "text").mapInArrow(count, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
     best: dict[str, list[bytes]] = defaultdict(list)
     for r in sums.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= n_words).orderBy("lang", "_rank").collect():

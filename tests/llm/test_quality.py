@@ -70,3 +70,14 @@ def test_edges(spark, make_docs):
     assert by[1]["kept"] and by[None]["kept"] and not by[103]["kept"]
     assert quality.query(make_docs([])).collect() == [] and quality.keep(make_docs([])).collect() == []
     assert quality.query(make_docs([(1, "a b", None)])).first()["kept"] is False
+
+
+def test_common_words_are_counted_over_all_documents(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    found = {}
+    for r in docs.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text").collect():
+        found.setdefault(r["lang"], Counter()).update(set(r["text"].encode("utf-8", "surrogatepass").lower().split()))
+    want = {k: [w for w, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[: quality.COMMON_WORDS]] for k, c in found.items()}
+    assert quality.common_words(docs) == want
+    monkeypatch.setattr(quality, "MOST_COUNTS", 50)
+    assert quality.common_words(docs) == want
