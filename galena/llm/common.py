@@ -13,9 +13,6 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: Rows with whole texts in one Arrow batch.
-TEXT_ROWS = 500
-
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -24,9 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A folder that the driver and all executors see: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """A folder that the driver and all executors see: spark.checkpoint.dir. Where that is unset and all runs in this one
+    machine, a temporary one is set; on a cluster it must be set."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="galena-")
         spark.conf.set("spark.checkpoint.dir", found)
         _written.append((spark, found))
@@ -44,16 +44,28 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage, survives lost executors, computes df once."""
     path = shared_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._galena_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that materialize() made and nothing reads any more."""
+    for t in tables:
+        _written.remove((t.sparkSession, t._galena_path))
+        _delete(t.sparkSession, t._galena_path)
 
 
 def release() -> None:
     """Delete all that this process has written to the shared folder. Results that still read it end here."""
     while _written:
-        spark, path = _written.pop()
         try:
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(*_written.pop())
         except Exception:  # the session may have ended
             return
 
@@ -61,15 +73,6 @@ def release() -> None:
 atexit.register(release)
 
 
-def text_batches(df: DataFrame) -> DataFrame:
-    """df, in whose session rows with whole texts go to Python in batches of TEXT_ROWS at most, to bound their memory."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    held = int(df.sparkSession.conf.get(key))
-    if not 0 < held <= TEXT_ROWS:
-        df.sparkSession.conf.set(key, TEXT_ROWS)
-    return df
-
-
 def lower_ascii(c: Column) -> Column:
     """A-Z in lower case; other letters stay."""
     return F.translate(c, UPPER, LOWER)

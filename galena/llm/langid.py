@@ -14,7 +14,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_batches
 
 VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
 #: At most about as many documents of each language are learned from, taken by a hash of doc_id.
@@ -213,7 +212,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     model. Of languages that tie, the first in the order of their names wins.
     """
     rest = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    base = text_batches(docs).select(*rest)
+    base = docs.select(*rest)
     if model is None:
         return base.withColumn("lang_pred", F.lit(UNDETERMINED)).withColumn("score", F.lit(0.0))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # as large as the vocabulary, for each language
@@ -247,7 +246,7 @@ def keep(docs: DataFrame, least: float) -> DataFrame:
                 out += [g != UNDETERMINED and s >= least for g, s in zip(langs, scores, strict=True)]
             yield pa.array(out, pa.bool_())
 
-    return text_batches(docs).where(F.arrow_udf(speaks, "boolean")(F.col("text")))
+    return docs.where(F.arrow_udf(speaks, "boolean")(F.col("text")))
 
 
 def query(docs: DataFrame) -> DataFrame:

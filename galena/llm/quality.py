@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, text_batches
+from .common import materialize
 
 SYMBOLS = b"#*$%&|<>"
 LEAST_WORDS = 50
@@ -134,7 +134,7 @@ def common_words(docs: DataFrame, n_words: int = COMMON_WORDS) -> dict[str, list
                 found = defaultdict(Counter)
         yield rows(found)
 
-    sums = text_batches(known).select("lang", "text").mapInArrow(count, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    sums = known.select("lang", "text").mapInArrow(count, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
     best: dict[str, list[bytes]] = defaultdict(list)
     for r in sums.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= n_words).orderBy("lang", "_rank").collect():
@@ -178,7 +178,7 @@ def count_all(docs: DataFrame, common: dict[str, list[bytes]]) -> DataFrame:
                 cols += [pa.array([getattr(c, k).tolist() for c in found], pa.list_(pa.int64())) for k in ("classes", "words")]
                 yield pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in COUNTED.split(", ")])
 
-    return text_batches(docs).select("doc_id", "text", "lang").mapInArrow(run, COUNTED)
+    return docs.select("doc_id", "text", "lang").mapInArrow(run, COUNTED)
 
 
 def references(counted: DataFrame, common: dict[str, list[bytes]]) -> References:
@@ -247,7 +247,7 @@ def keep(docs: DataFrame) -> DataFrame:
                 out += verdict(np.array([c.n_words for c in found]), np.array([int(c.classes.sum()) for c in found]), np.array([c.base_failed for c in found], bool), by_class, by_word).tolist()
             yield pa.array(out, pa.bool_())
 
-    return text_batches(docs).where(F.arrow_udf(passes, "boolean")(F.col("text"), F.col("lang")))
+    return docs.where(F.arrow_udf(passes, "boolean")(F.col("text"), F.col("lang")))
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import LOWER, UPPER, materialize
+from .common import LOWER, UPPER, discard, materialize
 
 class Rule(NamedTuple):
     verdict: str
@@ -23,7 +23,7 @@ class Rule(NamedTuple):
 
 
 RULES = (Rule("block", "net", "/"), Rule("allow", "example.net", "/en/"), Rule("block", "example.com", "/de/"), Rule("allow", "org", "/fr/"))
-#: Listed hosts: these and all their subdomains are blocked where no rule fits.
+#: Listed hosts: these and all their subdomains are blocked where no rule fits. SITES names them too, so SQL need not.
 LISTED = ("cheap-pills.example.com", "casino-win.example.org", "free-bets.example.com", "spam-farm.example.org", "ads-track.example.org")
 #: Listed sites: a domain of the corpus that starts with one of these labels is listed, whatever it ends in.
 SITES = ("cheap-pills", "casino-win", "free-bets", "spam-farm", "ads-track", "adult-x")
@@ -62,25 +62,24 @@ class Cascade:
     The build's only join marks the universe's listed keys.
     """
 
-    def __init__(self, listed: DataFrame, universe: DataFrame, max_levels: int = 64):
-        """listed, universe: a column key; nulls and repeats are ignored."""
+    def __init__(self, listed: DataFrame, universe: DataFrame):
+        """listed, universe: a column key; nulls and repeats are ignored. The levels hold about
+        1.44 * log2(universe / listed) + 3 bits for each listed key, at any size."""
         listed = listed.select(F.col("key").cast("string").alias("_k")).where("_k IS NOT NULL").distinct()
         marked = universe.select(F.col("key").cast("string").alias("key")).where("key IS NOT NULL").distinct()
         marked = materialize(marked.join(listed, F.col("key") == F.col("_k"), "left").select("key", F.col("_k").isNotNull().alias("listed")), "url-universe")
         self.levels: list[bloom.Level] = []
-        self.exact = True
         inside, outside = marked.where("listed").select("key"), marked.where("NOT listed").select("key")
         n, m = inside.count(), outside.count()
-        while n and len(self.levels) < max_levels:
+        made = [marked]
+        while n:
             rate = min(0.5, max(1e-6, n * math.sqrt(0.5) / max(m, 1))) if not self.levels else 0.5
             level = bloom.fill(inside, n, rate, len(self.levels) + 1)
-            if level is None:
-                self.exact = False
-                return
             self.levels.append(level)
-            inside, outside = outside.where(bloom.contains(F.col("key"), level)), inside
+            inside, outside = materialize(outside.where(bloom.contains(F.col("key"), level)), "url-level"), inside
+            made.append(inside)
             n, m = inside.count(), n
-        self.exact = not n
+        discard(*made)
 
     def contains(self, key: Column) -> Column:
         """Whether key, of the universe, is listed."""
@@ -105,13 +104,7 @@ def judge(pages: DataFrame, rules: Sequence[Rule], listed: DataFrame) -> DataFra
     rest = [c for c in pages.columns if c not in new]
     out = pages.select(*rest, host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     out = out.withColumn("rule", rule_for(F.col("host"), F.col("path"), rules))
-    if cascade.exact:
-        hit = F.exists(suffixes(F.col("host")), cascade.contains)
-    else:  # the list is too long for a filter: hosts are matched by a shuffled join, still exactly
-        found = universe.distinct().join(listed.select("key").distinct(), "key", "left_semi")
-        bad = hosts.select("h", F.explode(suffixes(F.col("h"))).alias("key")).join(found, "key").select(F.col("h").alias("_bad")).distinct()
-        out = out.join(bad, F.col("host") == F.col("_bad"), "left")
-        hit = F.col("_bad").isNotNull()
+    hit = F.exists(suffixes(F.col("host")), cascade.contains)
     by_rule = F.lit(None).cast("string")
     for r in rules:
         by_rule = F.when(F.col("rule") == r.text, F.lit(r.verdict)).otherwise(by_rule)
@@ -143,5 +136,5 @@ r AS (SELECT *, CASE
     WHEN ('.' || host) LIKE '%.org' AND starts_with(path, '/fr/') THEN 'org/fr/'
     WHEN ('.' || host) LIKE '%.net' AND starts_with(path, '/') THEN 'net/' END AS rule FROM u)
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
-  WHEN {" OR ".join(f"('.' || host) LIKE '%.{h}'" for h in LISTED)} THEN 'block' ELSE 'allow' END AS verdict FROM r
+  WHEN regexp_matches(host, '(^|\\.)({"|".join(SITES)})\\.') THEN 'block' ELSE 'allow' END AS verdict FROM r
 """
