@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 from itertools import pairwise
 
 import numpy as np
@@ -13,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import materialize, text_batches
+from .common import discard, materialize
 from .graph import components
 
 #: Words of a shingle; sets are linked from this percentage of their union on.
@@ -22,15 +23,22 @@ SHINGLE, PERCENT = 4, 80
 VALUES = 64
 #: Independent trees: a pair at the threshold shares the root's token in 4 of 5 trees, so all miss it once in 390,000.
 TREES = 8
-#: Nodes up to this size are compared exhaustively; larger ones branch by BRANCHES tokens more, LEVELS times at most.
-SMALL, BRANCHES, LEVELS = 512, 2, 4
-#: A large node is joined if this part of it resembles one of its sets.
-ALIKE = 0.8
+#: The first tree is searched alone: what it links need not be compared in the others.
+ROUNDS = (range(1), range(1, TREES))
+#: Nodes up to this size are compared exhaustively. Larger ones branch, first by FIRST minwise tokens, below by one, one
+#: node in four by two, down to LEVELS levels: a pair at the threshold shares a token in 4 of 5 cases, so one that is
+#: in a large node has FIRST * 0.8 nodes in common below it on average, on each level.
+SMALL, FIRST, LEVELS = 2048, 4, 24
 #: Of the minwise values two sets must share as many to be compared in full; a pair at the threshold shares 51 of 64 on
 #: average with a standard deviation of 3.2, so it has fewer once in 10 million.
 LEAST_SHARED = 34
-#: Documents whose full sets one group compares.
-GROUP = 96
+#: Members of one group that a node larger than SMALL is dealt into, and the sets of the node that join each of its groups.
+GROUP, PIVOTS = 512, 4
+#: Hashes of full sets that one group compares, about; of more, blocks meet block by block.
+MOST_HASHES = 4_000_000
+#: Up to as many keys are held in a Bloom filter (1 MB for each million), so that only what may be concerned is shuffled;
+#: beyond, all rows are. The results are the same.
+FILTER_KEYS = 8_000_000
 WORDS_KEPT = 400_000
 BLOCK = 2048
 
@@ -106,7 +114,7 @@ def sets(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
                 kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *(pa.array(x, t) for x, t in zip((n, prints, wide, narrow), kinds, strict=True))], ["doc_id", "n", "print", "wide", "narrow"])
 
-    return text_batches(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, n long, print binary, wide binary, narrow binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, print binary, wide binary, narrow binary")
 
 
 def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -142,103 +150,24 @@ def bounds(table: pa.Table, keys: list[str]) -> np.ndarray:
     return np.flatnonzero(change)
 
 
-def node_edges(ids: np.ndarray, n: np.ndarray, narrow: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Compare all sets of a node by their minwise values: edges that join what may be linked, one less than sets."""
-    near = np.zeros((len(ids), len(ids)), bool)
-    step = max(1, 4_000_000 // (len(ids) * VALUES))
-    for i in range(0, len(ids), step):
-        near[i : i + step] = (narrow[i : i + step, None, :] == narrow[None, :, :]).sum(axis=2, dtype=np.int16) >= LEAST_SHARED
+def resembling(n: np.ndarray, narrow: np.ndarray, label: np.ndarray, asked: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs of a group's members must be compared in full: a matrix. Their minwise values and sizes allow a link,
+    their labels differ, and one of them is asked."""
+    m = len(n)
+    near, by_value = np.empty((m, m), bool), np.ascontiguousarray(narrow.T)
+    for i in range(0, m, 256):
+        shared = np.zeros((min(256, m - i), m), np.uint8)
+        for v in by_value:
+            shared += v[i : i + 256, None] == v[None, :]
+        near[i : i + 256] = shared >= LEAST_SHARED
     near &= (100 * n[:, None] >= percent * n[None, :]) & (100 * n[None, :] >= percent * n[:, None])
-    out, todo = [], np.ones(len(ids), bool)
-    for i in range(len(ids)):
-        if todo[i]:
-            todo[i] = False
-            front = np.array([i])
-            while len(front):
-                front = np.flatnonzero(near[front].any(axis=0) & todo)
-                todo[front] = False
-                out += [(int(ids[i]), int(ids[j])) for j in front]
-    return out
-
-
-def near_pivot(rows: DataFrame, narrow: DataFrame) -> DataFrame:
-    """rows (rep, tree, key) -> rep, tree, key, near: whether a set resembles one set of its node, taken by a hash."""
-    rows = rows.join(narrow.select("_rep", "narrow"), F.col("rep") == F.col("_rep")).select("rep", "tree", "key", "narrow")
-    pivots = rows.groupBy("key").agg(F.min_by("narrow", F.xxhash64("rep", "key")).alias("pivot")).withColumnRenamed("key", "_key")
-    rows = rows.join(pivots, F.col("key") == F.col("_key")).select("rep", "tree", "key", "narrow", "pivot")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            a, p = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint8).reshape(-1, VALUES) for k in ("narrow", "pivot"))
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array((a == p).sum(axis=1) >= LEAST_SHARED, pa.bool_())], ["rep", "tree", "key", "near"])
-
-    return materialize(rows.mapInArrow(compare, "rep long, tree int, key long, near boolean"), "near-pivots")
+    return near & (label[:, None] != label[None, :]) & (asked[:, None] | asked[None, :])
 
 
 def _value(wide: Column, i: int) -> Column:
     return F.substring(wide, 4 * i + 1, 4)
 
 
-def candidates(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """classes (rep, n, wide, narrow) -> edges (a, b) such that all linked classes are connected by them.
-
-    At the root of each tree a set is in the node of its minwise token. Small nodes are compared. A larger one of which
-    most sets resemble one of them is joined as it is; in the others, the sets branch by BRANCHES further minwise tokens
-    each, and so on. Sets that share a large node below the last level agree in all tokens on a path, so they are joined
-    without a comparison. Joined sets are only candidates.
-    """
-    narrow = classes.select(F.col("rep").alias("_rep"), "n", "narrow")
-    wide = classes.select(F.col("rep").alias("_rep"), "wide")
-    rows = classes.select("rep", F.explode(F.array(*[F.struct(F.lit(t).alias("tree"), F.xxhash64(F.lit(t), _value(F.col("wide"), t)).alias("key")) for t in range(TREES)])).alias("x")).select("rep", "x.tree", "x.key")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in groups(batches, ["key"]):
-            ids, n = t.column("rep").to_numpy(), t.column("n").to_numpy()
-            short = np.frombuffer(b"".join(t.column("narrow").to_pylist()), np.uint8).reshape(-1, VALUES)
-            cuts = bounds(t, ["key"])
-            out: list[tuple[int, int]] = []
-            pairs = cuts[:-1][np.diff(cuts) == 2]  # most nodes are pairs, which are compared at once
-            a, b = n[pairs], n[pairs + 1]
-            hit = ((short[pairs] == short[pairs + 1]).sum(axis=1) >= LEAST_SHARED) & (100 * a >= percent * b) & (100 * b >= percent * a)
-            out += zip(ids[pairs[hit]].tolist(), ids[pairs[hit] + 1].tolist(), strict=True)
-            for i, j in pairwise(cuts.tolist()):
-                if j - i > 2:
-                    out += node_edges(ids[i:j], n[i:j], short[i:j], percent)
-            out = list({(min(p), max(p)) for p in out})
-            yield pa.RecordBatch.from_pydict({"a": pa.array([p[0] for p in out], pa.int64()), "b": pa.array([p[1] for p in out], pa.int64())})
-
-    found = []
-    for level in range(LEVELS + 1):
-        sizes = rows.groupBy("key").agg(F.count("*").alias("_size"), F.min("rep").alias("_least")).where("_size > 1").withColumnRenamed("key", "_key")
-        met = materialize(rows.join(sizes, F.col("key") == F.col("_key")).select("rep", "tree", "key", "_size", "_least"), "near-nodes")
-        small = met.where(F.col("_size") <= SMALL).select("rep", "key").join(narrow, F.col("rep") == F.col("_rep")).select("key", "rep", "n", "narrow")
-        found.append(materialize(small.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(compare, "a long, b long"), "near-edges"))
-        large = met.where(F.col("_size") > SMALL)
-        if large.isEmpty():
-            break
-        if level == LEVELS:
-            found.append(large.select(F.col("_least").alias("a"), F.col("rep").alias("b")))
-            break
-        large = near_pivot(large.select("rep", "tree", "key"), narrow)
-        alike = large.groupBy("key").agg(F.avg(F.col("near").cast("double")).alias("_share"), F.min("rep").alias("_least")).withColumnRenamed("key", "_key")
-        large = materialize(large.join(alike, F.col("key") == F.col("_key")).select("rep", "tree", "key", "_share", "_least"), "near-large")
-        found.append(large.where(F.col("_share") >= ALIKE).select(F.col("_least").alias("a"), F.col("rep").alias("b")))
-        large = large.where(F.col("_share") < ALIKE)
-        if large.isEmpty():
-            break
-        large = large.select("rep", "tree", "key").join(wide, F.col("rep") == F.col("_rep"))
-        # each tree takes values of its own, in an order of its own
-        keys = [F.lit(None).cast("long")] * BRANCHES
-        for k in range(BRANCHES):
-            for t in range(TREES):
-                keys[k] = F.when(F.col("tree") == t, F.xxhash64("key", F.lit(k), _value(F.col("wide"), _TAKES[t][level * BRANCHES + k]))).otherwise(keys[k])
-        rows = large.select("rep", "tree", F.explode(F.array(*keys)).alias("key"))
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out
-
-
 class Forest:
     """Union-find."""
 
@@ -266,76 +195,207 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def confirm(items: list[tuple[int, int, bool, np.ndarray]], percent: int) -> list[tuple[int, int]]:
-    """items: doc_id, label, whether it is asked, full set. Links of full sets, where one is asked and their labels are not
-    yet connected: enough of them to connect all that the links connect."""
-    forest, out = Forest(), []
-    items = sorted(items, key=lambda x: (len(x[3]), x[0]))
-    for i, (a, la, asked, sa) in enumerate(items):
-        for b, lb, too, sb in items[i + 1 :]:
-            if 100 * len(sa) < percent * len(sb):
-                break
-            if (asked or too) and forest.find(la) != forest.find(lb) and linked(sa, sb, percent):
-                forest.join(la, lb)
-                out.append((a, b))
-    return out
+def confirm(label: np.ndarray, near: np.ndarray, full: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """The links of full sets among the pairs that are near, as pairs of labels: enough of them to connect all labels that
+    the links connect. Pairs whose labels are connected already are not compared."""
+    names, at = np.unique(label, return_inverse=True)
+    begun = at.copy()
+    if len(full) == 2:
+        return [(int(label[0]), int(label[1]))] if near[0, 1] and linked(*full, percent) else []
+    size = np.array([len(s) for s in full])
+    codes = np.unique(np.concatenate(full), return_inverse=True)[1]
+    start = np.cumsum(size) - size
+    mine = np.zeros(int(codes.max(initial=0)) + 1, bool)
+    for i in range(len(full) - 1):
+        js = np.flatnonzero(near[i, i + 1 :] & (at[i + 1 :] != at[i]) & (size[i + 1 :] > 0)) + i + 1
+        if not len(js) or not size[i]:
+            continue
+        mine[codes[start[i] : start[i] + size[i]]] = True
+        ends = np.cumsum(size[js])
+        where = np.repeat(start[js] - ends + size[js], size[js]) + np.arange(ends[-1])
+        both = np.add.reduceat(mine[codes[where]].astype(np.int64), ends - size[js])
+        mine[codes[start[i] : start[i] + size[i]]] = False
+        found = np.unique(at[js[100 * both >= percent * (size[i] + size[js] - both)]])
+        if len(found):
+            at[np.isin(at, found)] = at[i]
+    return [(int(names[a]), int(names[b])) for a, b in set(zip(at.tolist(), begun.tolist(), strict=True)) if a != b]
+
+
+MEMBERS = "group long, rep long, label long, asked boolean, n long, narrow binary"
 
 
-def verified(docs: DataFrame, members: DataFrame, words: int, percent: int) -> DataFrame:
-    """members (rep, group, label, asked) -> confirmed links (a, b) within the groups, from whole texts."""
+def _narrow(t: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(t.column("narrow").to_pylist()), np.uint8).reshape(-1, VALUES)
+
+
+def picked(members: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """members (group, rep, label, asked) of groups of bounded size -> those that resemble another of their group, by minwise
+    values, with n and narrow."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in groups(batches, ["group"]):
+            n, label, asked, narrow = t.column("n").to_numpy(), t.column("label").to_numpy(), t.column("asked").to_numpy(), _narrow(t)
+            cuts = bounds(t, ["group"])
+            keep = np.zeros(t.num_rows, bool)
+            first = cuts[:-1][np.diff(cuts) == 2]  # most groups are pairs, which are compared at once
+            a, b = n[first], n[first + 1]
+            hit = ((narrow[first] == narrow[first + 1]).sum(axis=1) >= LEAST_SHARED) & (100 * a >= percent * b) & (100 * b >= percent * a)
+            hit &= (label[first] != label[first + 1]) & (asked[first] | asked[first + 1])
+            keep[first[hit]] = keep[first[hit] + 1] = True
+            for i, j in pairwise(cuts.tolist()):
+                if j - i > 2:
+                    keep[i:j] = resembling(n[i:j], narrow[i:j], label[i:j], asked[i:j], percent).any(axis=0)
+            yield from t.filter(pa.array(keep)).to_batches()
+
+    rows = members.join(sketches, F.col("rep") == F.col("_rep")).select("group", "rep", "label", "asked", "n", "narrow")
+    return rows.repartition("group").sortWithinPartitions("group", "rep").mapInArrow(run, MEMBERS)
+
+
+def compared(docs: DataFrame, members: DataFrame, sketches: DataFrame, words: int, percent: int) -> DataFrame:
+    """members (group, rep, label, asked) of groups of bounded size -> links (a, b) of labels, confirmed by full sets.
+
+    Only members that resemble another by their minwise values take part with their full sets. Groups whose sets hold more
+    than MOST_HASHES are dealt into blocks, and each two blocks are a group."""
+    near = materialize(picked(members, sketches, percent), "near-picked")
+    weight = near.groupBy("group").agg(F.sum("n").alias("_w")).where(F.col("_w") > MOST_HASHES)
+    weight = weight.select(F.col("group").alias("_g"), F.ceil(2 * F.col("_w") / MOST_HASHES).cast("long").alias("blocks"))
+    heavy = near.join(weight, F.col("group") == F.col("_g"), "left").withColumn("block", F.pmod(F.xxhash64("rep", F.lit("block")), F.col("blocks")))
+    meets = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda i: F.xxhash64("group", F.least(i, F.col("block")), F.greatest(i, F.col("block"))))
+    near_all = heavy.select(F.explode(F.when(F.col("blocks").isNull(), F.array("group")).otherwise(meets)).alias("group"), "rep", "label", "asked", "n", "narrow")
+
+    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingle, last, data = Shingler(words), None, b""
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                b, found = whole.slice(at, 500), []
+                for text in b.column("text").to_pylist():
+                    if text != last:
+                        last, data = text, shingle(text).tobytes()
+                    found.append(data)
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(found, pa.binary())], [*b.schema.names[:-1], "full"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle = Shingler(words)
         for t in groups(batches, ["group"]):
             cuts, out = bounds(t, ["group"]), []
+            label, asked, n, narrow = t.column("label").to_numpy(), t.column("asked").to_numpy(), t.column("n").to_numpy(), _narrow(t)
+            sets = t.column("full").to_pylist()
             for i, j in pairwise(cuts.tolist()):
-                part = t.slice(i, j - i)
-                cols = [part.column(k).to_pylist() for k in ("doc_id", "label", "asked")]
-                items = [(*x, shingle(s)) for *x, s in zip(*cols, part.column("text").to_pylist(), strict=True)]
-                out += confirm(items, percent)
+                if j - i > 1:
+                    near = resembling(n[i:j], narrow[i:j], label[i:j], asked[i:j], percent)
+                    out += confirm(label[i:j], near, [np.frombuffer(s, np.uint64) for s in sets[i:j]], percent)
             yield pa.RecordBatch.from_pydict({"a": pa.array([p[0] for p in out], pa.int64()), "b": pa.array([p[1] for p in out], pa.int64())})
 
-    level = bloom.fill(members.select(F.col("rep").alias("key")).distinct(), members.count(), 0.02, 1)
-    texts = text_batches(docs).select("doc_id", "text")
-    if level:  # documents without candidates stay where they are
-        texts = texts.where(bloom.contains(F.col("doc_id"), level))
-    rows = texts.join(members, F.col("doc_id") == F.col("rep")).select("group", "doc_id", "label", "asked", "text")
-    return rows.repartition("group").sortWithinPartitions("group").mapInArrow(run, "a long, b long")
+    texts = docs.select("doc_id", "text")
+    if (n := near.count()) <= FILTER_KEYS:  # texts of documents without candidates are not shuffled
+        texts = texts.where(bloom.contains(F.col("doc_id"), bloom.fill(near.select(F.col("rep").alias("key")), n, 0.02, 1)))
+    rows = texts.join(near_all, F.col("doc_id") == F.col("rep")).select("group", "rep", "label", "asked", "n", "narrow", "text")
+    rows = rows.mapInArrow(full, MEMBERS + ", full binary").repartition("group").sortWithinPartitions("group")
+    out = materialize(rows.mapInArrow(run, "a long, b long").distinct(), "near-links")
+    discard(near)
+    return out
 
 
-def links(docs: DataFrame, classes: DataFrame, words: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """Confirmed links (a, b) between classes, which connect all that is linked.
+def blocked(large: DataFrame, asked: Column) -> DataFrame:
+    """large (key, rep, label, size) -> members of groups in which all that is asked meets all of its node. Nodes are dealt
+    into parts of about GROUP, and so is what is asked in them."""
+    by = lambda what, n: F.pmod(F.xxhash64("rep", F.lit(what)), n)
+    node = large.withColumn("asked", asked)
+    blocks = materialize(node.groupBy("key").agg(F.ceil(F.count("*") / GROUP).cast("long").alias("parts"), F.ceil(F.count_if("asked") / GROUP).cast("long").alias("blocks")).withColumnRenamed("key", "_key"), "near-blocks")
+    node = node.join(blocks, F.col("key") == F.col("_key")).withColumn("part", by("part", F.col("parts"))).withColumn("block", by("block", F.col("blocks")))
+    zero = F.lit(0).cast("long")
+    hers = node.where("asked").select("key", "rep", "label", F.explode(F.sequence(zero, F.col("parts") - 1)).alias("part"), "block", "asked")
+    others = node.where("blocks > 0").select("key", "rep", "label", "part", F.explode(F.sequence(zero, F.col("blocks") - 1)).alias("block"), F.lit(False).alias("asked"))
+    return hers.union(others).groupBy(F.xxhash64("key", "part", "block").alias("group"), "rep", "label").agg(F.max("asked").alias("asked"))
 
-    Candidates that hang together are compared by their full sets in one group, if they are few. More are dealt into
-    groups of about GROUP, each with the same four of them, so that what is linked to one of these comes together; all
-    that then is apart from its candidates' largest part is compared with every group.
+
+def searched(docs: DataFrame, classes: DataFrame, labels: DataFrame | None, trees: range, words: int, percent: int) -> list[DataFrame]:
+    """classes (rep, n, wide, narrow), labels (id, component: what is linked already, or None) -> tables of confirmed links
+    (a, b) of labels that these trees find.
+
+    At the root of each tree a set is in the node of its minwise token. Small nodes are compared. A larger one is first dealt
+    into groups that share PIVOTS of its sets, which links most of what is alike. If then most of it has one label, the
+    others are compared with all of it; if not, its sets branch by further minwise tokens until nodes are small, and
+    after LEVELS levels the sets of a large node meet block by block. Nodes with one label are done.
     """
-    where = components(candidates(classes, percent), "near-candidates").withColumnRenamed("id", "rep")
-    by_hash = F.xxhash64("rep", F.lit("deal"))
-    sizes = where.groupBy("component").agg(F.count("*").alias("n"), F.array_distinct(F.array(F.min("rep"), F.max("rep"), F.min_by("rep", by_hash), F.max_by("rep", by_hash))).alias("pivots"))
-    sizes = materialize(sizes.select(F.col("component").alias("_c"), F.ceil(F.col("n") / GROUP).cast("long").alias("parts"), "pivots"), "near-sizes")
-    dealt = where.join(sizes, F.col("component") == F.col("_c")).select("rep", "component", "parts", F.pmod(by_hash, F.col("parts")).alias("part"))
-    dealt = materialize(dealt, "near-dealt")
-    group = F.xxhash64("component", "part").alias("group")
-    everywhere = sizes.where("parts > 1").select(F.explode("pivots").alias("rep"), F.col("_c").alias("component"), F.sequence(F.lit(0).cast("long"), F.col("parts") - 1).alias("p")).select("rep", "component", F.explode("p").alias("part"))
-    members = materialize(dealt.select("rep", group).union(everywhere.select("rep", group)).distinct(), "near-members")
-    edges = materialize(verified(docs, members.withColumn("label", F.col("rep")).withColumn("asked", F.lit(True)), words, percent), "near-links")
-    split = dealt.where("parts > 1")
-    if split.isEmpty():
-        return edges
-
-    known = components(edges, "near-known").select(F.col("id").alias("_id"), F.col("component").alias("_label"))
-    split = materialize(split.join(known, F.col("rep") == F.col("_id"), "left").select("rep", "component", "parts", "part", F.coalesce("_label", "rep").alias("label")), "near-split")
-    parts = split.groupBy("component", "label").agg(F.count("*").alias("n"))
-    largest = parts.groupBy("component").agg(F.max_by("label", F.struct("n", "label")).alias("_main"), F.sum("n").alias("_all"), F.max("n").alias("_most"))
-    largest = largest.where("_all > _most").select(F.col("component").alias("_c"), "_main", F.ceil((F.col("_all") - F.col("_most")) / GROUP).cast("long").alias("blocks"))
-    apart = materialize(split.join(largest, F.col("component") == F.col("_c")).withColumn("asked", F.col("label") != F.col("_main")), "near-apart")
-    block = F.pmod(F.xxhash64("rep", F.lit("block")), F.col("blocks"))
-    hers = apart.where("asked").select("rep", "component", "label", block.alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "asked")
-    others = apart.select("rep", "component", "label", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "part", F.lit(False).alias("asked"))
-    members = hers.union(others.select(*hers.columns)).groupBy("rep", "label", F.xxhash64("component", "part", "block").alias("group")).agg(F.max("asked").alias("asked"))
-    members = materialize(members, "near-members")
-    return edges.union(materialize(verified(docs, members, words, percent), "near-links"))
+    sketches, wide = classes.select(F.col("rep").alias("_rep"), "n", "narrow"), classes.select(F.col("rep").alias("_rep"), "wide")
+
+    def relabelled(rows: DataFrame, known: DataFrame | None) -> DataFrame:
+        """rows (rep, tree, key) with label."""
+        if known is None:
+            return rows.select("rep", "tree", "key", F.col("rep").alias("label"))
+        return rows.join(known.select(F.col("id").alias("_id"), F.col("component").alias("_label")), F.col("rep") == F.col("_id"), "left").select("rep", "tree", "key", F.coalesce("_label", "rep").alias("label"))
+
+    rows = classes.select("rep", F.explode(F.array(*[F.struct(F.lit(t).alias("tree"), F.xxhash64(F.lit(t), _value(F.col("wide"), t)).alias("key")) for t in trees])).alias("x")).select("rep", "x.tree", "x.key")
+    rows = relabelled(rows, labels)
+    found: list[DataFrame] = []
+    waiting: list[DataFrame] = []
+    held: list[DataFrame] = []
+    level, dealt = 0, False
+    while True:
+        sizes = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low < _high")
+        sizes = materialize(sizes.select(F.col("key").alias("_key"), "size"), "near-sizes")  # joined from a table, so that Spark can split what is skewed
+        nodes = materialize(rows.join(sizes, F.col("key") == F.col("_key")).select("rep", "tree", "key", "label", "size"), "near-nodes")
+        held += [sizes, nodes]
+        whole = F.lit(True).alias("asked")
+        waiting.append(nodes.where(F.col("size") <= SMALL).select(F.col("key").alias("group"), "rep", "label", whole))
+        large = nodes.where(F.col("size") > SMALL)
+        if large.isEmpty():
+            break
+        most = large.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "label")).alias("m"))
+        most = materialize(most.select(F.col("key").alias("_key"), F.col("m.c").alias("_most"), F.col("m.label").alias("_main")), "near-most")
+        held.append(most)
+        large = large.join(most, F.col("key") == F.col("_key")).drop("_key")
+        one = 2 * F.col("_most") >= F.col("size")
+        last = level == LEVELS
+        ended = large.where(F.lit(True) if last else one)
+        waiting.append(blocked(ended, ~one | (F.col("label") != F.col("_main"))))
+        large = large.where(F.lit(False) if last else ~one)
+        if large.isEmpty():
+            break
+        if not dealt:  # deal into groups that share pivots, link, and look again at what is left
+            dealt = True
+            part = F.pmod(F.xxhash64("rep", F.lit("part")), F.col("parts"))
+            large = large.withColumn("parts", F.ceil(F.col("size") / GROUP).cast("long"))
+            pivots = large.groupBy("key", "parts").agg(F.array_distinct(F.array(*[F.min_by(F.struct("rep", "label"), F.xxhash64("rep", F.lit(i))) for i in range(PIVOTS)])).alias("p"))
+            pivots = pivots.select("key", F.explode("p").alias("p"), F.sequence(F.lit(0).cast("long"), F.col("parts") - 1).alias("part")).select("key", "p.rep", "p.label", F.explode("part").alias("part"))
+            members = large.select("key", "rep", "label", part.alias("part")).union(pivots).select(F.xxhash64("key", "part", F.lit("part")).alias("group"), "rep", "label").distinct()
+            waiting.append(members.withColumn("asked", whole))
+            links = compared(docs, reduce(DataFrame.unionByName, waiting), sketches, words, percent)
+            found.append(links)
+            waiting = []
+            known = components(links if labels is None else links.union(labels.select("id", "component")), "near-known")
+            held.append(known)
+            rows = relabelled(large.select("rep", "tree", "key"), known)
+            continue
+        level += 1
+        large = large.join(wide, F.col("rep") == F.col("_rep"))
+        taken = range(FIRST) if level == 1 else range(FIRST + 2 * level - 4, FIRST + 2 * level - 2)
+        keys = []
+        for k in taken:  # each tree takes values of its own, in an order of its own
+            value = F.lit(None).cast("binary")
+            for t in trees:
+                value = F.when(F.col("tree") == t, _value(F.col("wide"), _TAKES[t][k])).otherwise(value)
+            keys.append(F.xxhash64("key", F.lit(k), value))
+        below = F.array(*keys)
+        if level > 1:
+            below = F.when(F.pmod(F.xxhash64("key", F.lit("branch")), F.lit(4)) == 0, below).otherwise(F.array(keys[0]))
+        rows = large.select("rep", "tree", F.explode(below).alias("key"), "label")
+        rows = materialize(rows, "near-rows")
+        held.append(rows)
+    found.append(compared(docs, reduce(DataFrame.unionByName, waiting), sketches, words, percent))
+    discard(*held)
+    return found
+
+
+def links(docs: DataFrame, classes: DataFrame, words: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """Confirmed links (a, b) between classes, which connect all that is linked."""
+    found: list[DataFrame] = []
+    labels: DataFrame | None = None
+    for i, trees in enumerate(ROUNDS):
+        found += searched(docs, classes, labels, trees, words, percent)
+        if i < len(ROUNDS) - 1:
+            labels = components(reduce(DataFrame.unionByName, found), "near-labels")
+    return reduce(DataFrame.unionByName, found)
 
 
 def near_duplicates(docs: DataFrame, words: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -350,26 +410,36 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE, percent: int = PERCEN
     base = materialize(sets(docs, words), "near-sets")
     classes = base.where("print IS NOT NULL").groupBy("print", "n", "wide", "narrow").agg(F.min("doc_id").alias("rep"))
     classes = materialize(classes, "near-classes")
-    again = base.where("print IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count_distinct("print").alias("c")).where("c > 1").select("doc_id")
+    again = base.where("print IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("print").alias("_p"), F.max("print").alias("_q")).where("_p < _q").select("doc_id")
     same = base.join(again, "doc_id", "left_semi").join(classes.select("print", "rep"), "print").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     found = links(docs, classes.where("rep IS NOT NULL"), words, percent).union(same)
     label = components(found, "near-links").select(F.col("id").alias("_id"), "component")
     known = classes.join(label, F.col("rep") == F.col("_id"), "left").select(F.col("print").alias("_print"), F.coalesce("component", "rep").alias("component_id"))
+    known = materialize(known, "near-classes")  # joined from a table, so that Spark can split a print with many rows
     full = base.where("print IS NOT NULL").join(known, F.col("print") == F.col("_print")).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     none = base.where("print IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    discard(classes)
     return full.union(none).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
 
 
 def keep(docs: DataFrame, words: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """One row of docs for each group of near duplicates, with all its columns. Rows without doc_id stay."""
-    gone = near_duplicates(docs, words, percent).where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_gone")).distinct()
+    """One row of docs for each group of near duplicates, with all its columns, whatever their names.
+
+    Rows without doc_id stay, and of rows with one doc_id one. A null or empty text is like no other, so its row stays.
+    An empty table gives an empty one.
+    """
+    name = "_gone"
+    while name in docs.columns:
+        name = "_" + name
+    gone = near_duplicates(docs, words, percent).where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias(name)).distinct()
     gone = materialize(gone, "near-gone")
-    level = bloom.fill(gone.select(F.col("_gone").alias("key")), gone.count(), 0.02, 2)
-    if level:  # only documents that may go are shuffled to find out
-        maybe = bloom.contains(F.col("doc_id"), level)
-        out = docs.where(~maybe).unionByName(docs.where(maybe).join(gone, F.col("doc_id") == F.col("_gone"), "left_anti"))
-    else:
-        out = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    out = docs
+    if (n := gone.count()) <= FILTER_KEYS:  # only documents that may go are shuffled to find out
+        maybe = bloom.contains(F.col("doc_id"), bloom.fill(gone.select(F.col(name).alias("key")), n, 0.02, 2))
+        sure, out = docs.where(~maybe), docs.where(maybe)
+    out = out.join(gone, F.col("doc_id") == F.col(name), "left_anti")
+    if n <= FILTER_KEYS:
+        out = sure.unionByName(out)
     if not docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
         out = out.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(out.where("doc_id IS NULL"))
     return out

@@ -9,16 +9,16 @@ from hypothesis import strategies as st
 from galena.llm import graph, neardup
 
 
-def shingles(text):
+def shingles(text, words=4):
     w = (text or "").encode().lower().split()
-    k = min(4, len(w))
+    k = min(words, len(w))
     return frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if w else frozenset()
 
 
-def brute(rows):
+def brute(rows, words=4):
     """Component of each doc_id, from all pairs."""
     forest = neardup.Forest()
-    sets = [(i, shingles(t)) for i, t in rows if i is not None]
+    sets = [(i, shingles(t, words)) for i, t in rows if i is not None]
     for (a, s), (b, t) in combinations(sets, 2):
         if a == b or s and t and 100 * len(s & t) >= 80 * len(s | t):
             forest.join(a, b)
@@ -84,12 +84,58 @@ def test_null_ids_and_empty_table(spark, make_docs):
 def test_one_of_each_group_stays(spark, make_docs):
     rng = random.Random(9)
     rows = near_copies(rng, 20, 50, 1, 10) + [(1, "something else entirely and more"), (1, "something else entirely and more"), (None, "no id at all here")]
-    docs = make_docs(rows).selectExpr("*", "'clash' AS component_id")
+    docs = make_docs(rows).selectExpr("*", "'clash' AS component_id", "1 AS _gone", "2 AS __gone")
     out = neardup.keep(docs)
     want = brute(rows)
     assert sorted(str(r["doc_id"]) for r in out.collect()) == sorted([*(str(i) for i in set(want.values())), "None"]) and out.columns == docs.columns
 
 
+def shared_words(rng, n, start, own=20):
+    """Texts that share 80 words, with own ones each: similar by about 0.66 at 20 own words, so that none are linked."""
+    passage = " ".join(f"p{start}x{i}" for i in range(80))
+    return [(start + i, passage + " " + " ".join(f"q{rng.randrange(10**9)}" for _ in range(own))) for i in range(n)]
+
+
+def test_what_is_compared_grows_in_proportion(spark, make_docs, monkeypatch):
+    """Similar documents without links: the rows that are compared in full double with the documents."""
+    rng, compared, plain = random.Random(3), {}, neardup.materialize
+
+    def counted(df, label):
+        out = plain(df, label)
+        if label == "near-picked":
+            compared[n] = compared.get(n, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(neardup, "materialize", counted)
+    for n in (400, 800, 1600):
+        got = neardup.near_duplicates(make_docs(shared_words(rng, n, 0))).collect()
+        assert len(got) == n and all(r["kept"] for r in got)
+    assert 0 < compared[800] <= 2.1 * compared[400] and compared[1600] <= 2.1 * compared[800] and compared[1600] <= 1600 * neardup.TREES
+
+
+def test_recall_at_the_threshold(spark, make_docs):
+    """Pairs just above the threshold, most of them among thousands of similar documents, at the limits as they are."""
+    rng = random.Random(11)
+    rows = shared_words(rng, 3000, 0)
+    pairs = []
+    for i in range(400):
+        w = rows[7 * i][1].split() if i % 4 else [f"r{rng.randrange(10**9)}" for _ in range(100)]
+        a = " ".join(w)
+        while True:  # change single words as long as the pair stays linked
+            at = rng.randrange(len(w))
+            v = [*w[:at], f"x{rng.randrange(10**9)}", *w[at + 1 :]]
+            s, t = shingles(a), shingles(" ".join(v))
+            if 100 * len(s & t) < 80 * len(s | t):
+                break
+            w = v
+        x, y = 10_000 + 2 * i, 10_001 + 2 * i
+        rows += [(x, a + " ")] * (i % 4 == 0) + [(y, " ".join(w))]
+        pairs.append((7 * i if i % 4 else x, y))
+    label = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(make_docs(rows)).collect()}
+    assert sum(label[x] == label[y] for x, y in pairs) >= 0.99 * len(pairs)
+    assert sum(label[x] != label[y] for (x, _), (_, y) in zip(pairs, pairs[1:], strict=False)) == len(pairs) - 1
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.sets(st.integers(0, 40), min_size=1), st.sets(st.integers(0, 40), min_size=1))
 def test_links_of_full_sets_are_exact(a, b):
@@ -97,8 +143,10 @@ def test_links_of_full_sets_are_exact(a, b):
     assert neardup.linked(x, y) == (100 * len(a & b) >= 80 * len(a | b))
 
 
-@pytest.mark.parametrize("edges", [[], [(1, 1)], [(i, i + 1) for i in range(60)], [(0, i) for i in range(1, 50)], [(9, 3), (3, 7), (20, 30), (30, 25), (7, 9), (2**62, 5)]])
-def test_components(spark, edges):
+@pytest.mark.parametrize("edges", [[], [(1, 1)], [(i, i + 1) for i in range(2000)], [(500, i) for i in range(999)], [(0, i) for i in range(1, 50)], [(9, 3), (3, 7), (20, 30), (30, 25), (7, 9), (2**62, 5)]])
+@pytest.mark.parametrize("few", [0, graph.FEW_EDGES])
+def test_components(spark, edges, few, monkeypatch):
+    monkeypatch.setattr(graph, "FEW_EDGES", few)
     forest, least = neardup.Forest(), {}
     for a, b in edges:
         forest.join(a, b)

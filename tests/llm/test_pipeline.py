@@ -21,7 +21,7 @@ def test_stages_against_brute_force(spark):
     assert {r["doc_id"] for r in docs.collect()} == {r["doc_id"] for r in language}
     verdicts = {r["doc_id"]: r["kept"] for r in quality.query(spark.createDataFrame([tuple(r.values()) for r in language], docs.schema)).collect()}
     assert {r["doc_id"] for r in clean} == {i for i, k in verdicts.items() if k}
-    assert {r["doc_id"] for r in single} == set(components([(r["doc_id"], r["text"]) for r in clean]).values())
+    assert {r["doc_id"] for r in single} == set(components([(r["doc_id"], r["text"]) for r in clean], 5).values())
     assert {r["doc_id"] for r in mixed} <= {r["doc_id"] for r in single} and len(mixed) > 0
     words = lambda rows: sum(len(r["text"].split()) for r in rows)
     assert 0.7 < words(mixed) / words(single) < 1.3
