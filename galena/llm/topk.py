@@ -15,9 +15,12 @@ from .common import materialize
 
 #: Vectors whose lengths differ by less than this factor share a class; classes are dealt into buckets of about BUCKET_ROWS.
 CLASS_RATIO = 1.05
-BUCKET_ROWS, BLOCK_QUERIES = 4096, 256
-#: In a bucket with a local threshold under this, coordinates exclude little, so lengths alone prune.
+BUCKET_ROWS, BLOCK_QUERIES = 4096, 2048
+#: In a bucket with a local threshold under this, coordinates exclude little, so lengths alone prune: the choice that the
+#: method makes for each bucket. Results are the same.
 LEAST_COSINE = 0.3
+#: Scores that are held at once.
+MOST_SCORES = 2_000_000
 #: Coordinates of a query that are tried.
 FOCUS = 3
 
@@ -89,8 +92,42 @@ def best(bucket: Bucket, qid: int, query: np.ndarray, k: int, theta: float) -> l
     return [(int(s), int(i)) for s, i in sorted(zip(scores.tolist(), ids.tolist(), strict=True), key=lambda x: (-x[0], x[1]))[:k]]
 
 
+def search_block(bucket: Bucket, ids: np.ndarray, queries: np.ndarray, theta: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of the bucket, of those that reach theta, for each query of a block: query ids, ids, scores.
+
+    Queries that prune by coordinates are taken one by one; of the others, those with about the same prefix of the bucket
+    are multiplied with it together."""
+    lengths = np.sqrt((queries.astype(float) ** 2).sum(axis=1))
+    need = np.where((theta > 0) & (lengths > 0), theta / np.maximum(lengths, 1e-300) * (1 - 1e-9), -np.inf)
+    prefix = np.searchsorted(-bucket.lengths, -need, "right")
+    most = float(np.abs(bucket.vectors).max(initial=0)) * float(np.abs(queries).max(initial=0)) * max(1, queries.shape[1])
+    alone = need >= LEAST_COSINE * bucket.lengths[0] if most < 2**53 else np.ones(len(ids), bool)
+    out: list[tuple[int, int, int]] = []
+    for i in np.flatnonzero(alone & (prefix > 0)).tolist():
+        out += [(int(ids[i]), x, s) for s, x in best(bucket, int(ids[i]), queries[i], k, float(theta[i]))]
+    rest = np.flatnonzero(~alone & (prefix > 0))
+    rest = rest[np.argsort(prefix[rest], kind="stable")]
+    found = [tuple(np.array(c, np.int64) for c in (zip(*out, strict=True) if out else ((), (), ())))]
+    step = max(1, MOST_SCORES // len(bucket.ids))
+    for at in range(0, len(rest), step):
+        some = rest[at : at + step]
+        n = int(prefix[some[-1]])
+        scores = queries[some].astype(float) @ bucket.vectors[:n].T.astype(float)  # exact, being below 2**53
+        scores[bucket.ids[None, :n] == ids[some, None]] = -np.inf
+        edge = np.partition(scores, n - k, axis=1)[:, n - k] if n > k else np.full(len(some), -np.inf)
+        q, x = np.nonzero((scores >= edge[:, None]) & (scores > -np.inf))
+        score = scores[q, x].astype(np.int64)
+        order = np.lexsort((bucket.ids[x], -score, q))
+        q, x, score = q[order], x[order], score[order]
+        keep = np.arange(len(q)) - np.searchsorted(q, q, "left") < k
+        found.append((ids[some][q[keep]], bucket.ids[x[keep]], score[keep]))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    return np.array(column.to_pylist(), np.int64)
+    """Vectors of one dimension, from the values as they lie in memory."""
+    lists = column.combine_chunks()
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
 
 
 def integers(vectors: DataFrame, scale: int = 1024) -> DataFrame:
@@ -109,46 +146,55 @@ def top_k(vectors: DataFrame, k: int = 10, query_mod: int = 100, scale: int = 10
     components are compared. Repeated rows of an id are candidates each, and none of them for its own id; as queries they
     count once. An empty table gives an empty table.
 
-    Classes of about equal length are dealt by a hash into buckets, so that a length that is frequent fills many.
-    One bucket of the longest vectors gives each query a score that its k best must reach; blocks of queries then meet
-    only the buckets whose longest vector can reach it, and the k best of each bucket are merged.
+    Classes of about equal length are dealt by a hash into buckets, so that a length that is frequent fills many. One bucket
+    of the longest vectors gives each query a score that its k best must reach. From it and from the query's length
+    follows the least class that can reach it; blocks of queries meet the buckets from there on, and the k best
+    of each bucket are merged. Lengths of vectors of 64-bit numbers are in about 1,000 classes at most.
     """
+    ratio = float(np.log(CLASS_RATIO))
+    zero = F.lit(0).cast("long")
+    in_class = lambda c: F.floor(F.log(c) / ratio).cast("long")
     rows = integers(vectors, scale)
-    rows = materialize(rows.withColumn("class", F.when(F.col("length") > 0, F.floor(F.log(F.col("length")) / float(np.log(CLASS_RATIO)))).otherwise(F.lit(-1_000_000)).cast("long")), "topk-vectors")
-    classes = rows.groupBy("dim", "class").agg(F.count("*").alias("n"), F.max("length").alias("longest"))
-    classes = materialize(classes.withColumn("parts", F.ceil(F.col("n") / BUCKET_ROWS).cast("long")), "topk-classes")
+    rows = materialize(rows.withColumn("class", F.when(F.col("length") > 0, in_class(F.col("length"))).otherwise(F.lit(-1).cast("long"))), "topk-vectors")
+    classes = rows.groupBy("dim", "class").agg(F.count("*").alias("n"))
+    by_class = Window.partitionBy("dim").orderBy(F.desc(F.when(F.col("n") > k, F.col("class"))), "class")
+    classes = classes.withColumn("parts", F.ceil(F.col("n") / BUCKET_ROWS).cast("long")).withColumn("seeds", (F.row_number().over(by_class) == 1) & (F.col("n") > k))
+    classes = materialize(classes.select(F.col("dim").alias("_dim"), F.col("class").alias("_class"), "parts", "seeds"), "topk-classes")
+    highest = classes.agg(F.coalesce(F.max("_class"), F.lit(-1).cast("long"))).first()[0]
+    same = (F.col("dim") == F.col("_dim")) & (F.col("class") == F.col("_class"))
     deal = F.pmod(F.xxhash64("vec_id", F.lit("deal")), F.col("parts"))
-    dealt = materialize(rows.join(classes, ["dim", "class"]).withColumn("part", deal).select("vec_id", "v", "length", "dim", "class", "part"), "topk-dealt")
-    buckets = classes.select("dim", "class", "longest", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    dealt = materialize(rows.join(classes, same).select("vec_id", "v", "dim", "class", deal.alias("part"), "seeds"), "topk-dealt")
 
     asked = rows.where(F.col("vec_id") % query_mod == 0).dropDuplicates(["vec_id"])
     n_blocks = max(1, -(-asked.count() // BLOCK_QUERIES))
     asked = asked.select(F.col("vec_id").alias("query_id"), "v", "length", "dim", F.pmod(F.xxhash64("vec_id", F.lit("block")), F.lit(n_blocks)).alias("block"))
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[tuple[int, int, int]] = []
+        out: tuple = ((), (), ())
         if left.num_rows and right.num_rows:
+            theta = left.column("theta").to_numpy(zero_copy_only=False).astype(float)
             bucket = Bucket.of(right.column("vec_id").to_numpy(), _matrix(right.column("v")))
-            for qid, q, theta in zip(left.column("query_id").to_pylist(), _matrix(left.column("v")), left.column("theta").to_pylist(), strict=True):
-                out += [(qid, i, s) for s, i in best(bucket, qid, q, k, theta if theta is not None else -np.inf)]
-        return pa.table({c: pa.array(x, pa.int64()) for c, x in zip(("query_id", "vec_id", "score"), zip(*out, strict=True) if out else ((), (), ()), strict=True)})
-
-    def met(pairs: DataFrame) -> DataFrame:
-        """pairs: queries with theta and a bucket each. The bucket's vectors go to each block of queries that meets it."""
-        key = ["dim", "class", "part", "block"]
-        wanted = pairs.select(*[F.col(c).alias(c) for c in key]).distinct()
-        theirs = dealt.select("vec_id", "v", "dim", "class", "part").join(wanted, ["dim", "class", "part"])
-        return pairs.groupBy(*key).cogroup(theirs.groupBy(*key)).applyInArrow(search, "query_id long, vec_id long, score long")
-
-    first = classes.where("n > 0").groupBy("dim").agg(F.max_by(F.struct("class", F.lit(0).cast("long").alias("part")), F.when(F.col("n") > k, F.col("class"))).alias("_b"))
-    seeds = asked.join(first.select("dim", "_b.class", "_b.part"), "dim").where(F.col("class").isNotNull()).withColumn("theta", F.lit(None).cast("double"))
+            out = search_block(bucket, left.column("query_id").to_numpy(), _matrix(left.column("v")), np.where(np.isnan(theta), -np.inf, theta), k)
+        return pa.table({c: pa.array(x, pa.int64()) for c, x in zip(("query_id", "vec_id", "score"), out, strict=True)})
+
+    found = "query_id long, vec_id long, score long"
+    # the seeds go to each block of queries: at most BUCKET_ROWS rows of a dimension, once a block
+    seeds = dealt.where("seeds AND part = 0").select("vec_id", "v", "dim", F.explode(F.sequence(zero, F.lit(n_blocks - 1).cast("long"))).alias("block"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    reached = met(seeds).withColumn("_r", F.row_number().over(order)).where(F.col("_r") == k).select("query_id", F.col("score").cast("double").alias("theta"))
-    reached = materialize(reached, "topk-thetas")
-    pairs = asked.join(reached, "query_id", "left").join(buckets, "dim")
-    pairs = pairs.where(F.col("theta").isNull() | (F.col("length") * F.col("longest") * (1 + 1e-9) >= F.col("theta"))).drop("longest")
-    found = met(pairs).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    reached = asked.withColumn("theta", F.lit(None).cast("double")).groupBy("dim", "block").cogroup(seeds.groupBy("dim", "block")).applyInArrow(search, found)
+    reached = reached.withColumn("_r", F.row_number().over(order)).where(F.col("_r") == k).select(F.col("query_id").alias("_q"), F.col("score").cast("double").alias("theta"))
+
+    least = F.when((F.col("theta") > 0) & (F.col("length") > 0), in_class(F.col("theta") / F.col("length")) - 1).otherwise(F.lit(-1).cast("long"))
+    wanted = asked.join(reached, F.col("query_id") == F.col("_q"), "left").drop("_q").withColumn("least", F.greatest(least, F.lit(-1).cast("long")))
+    wanted = wanted.where(F.col("least") <= highest).withColumn("class", F.explode(F.sequence("least", F.lit(highest).cast("long"))))
+    wanted = wanted.join(classes, same).withColumn("part", F.explode(F.sequence(zero, F.col("parts") - 1)))
+    wanted = materialize(wanted.select("query_id", "v", "theta", "dim", "class", "part", "block"), "topk-wanted")
+    key = ["dim", "class", "part"]
+    meets = wanted.groupBy(*key).agg(F.collect_set("block").alias("blocks"))  # of a bucket: one number a block
+    theirs = dealt.select("vec_id", "v", *key).join(meets, key).withColumn("block", F.explode("blocks")).drop("blocks")
+    out = wanted.groupBy(*key, "block").cogroup(theirs.groupBy(*key, "block")).applyInArrow(search, found)
+    out = out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return out.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def query(vectors: DataFrame) -> DataFrame:
