@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import os
 import string
 import zlib
@@ -17,26 +18,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, text_batches
+from .common import materialize
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 CAPACITY, END_ID = 4096, 1
-#: A configuration covers this part of a length's pieces at most before prices change again.
-STEP = 0.1
+#: A configuration covers this part of the pieces of a length at most before prices change again.
+STEP = 0.34
+#: Room that a configuration may leave free at prices that have changed since.
+MOST_WASTE = 0.002
 #: How fast the price of a length falls as its pieces are covered.
 ETA = 4.0
 #: Configurations taken at the same prices.
 COLUMNS = 192
-#: When as few pieces are left, they are left to the rounding.
-LEAVE = 4000
-#: Parts of the solution that the rounding tries.
-KEEPS = (1.0, 0.9, 0.5, 0.0)
-#: Pieces of one length that one group of the ranking holds, about.
-RANK_ROWS = 200
+#: Parts of the rounded solution that are kept in turn, while best fit places the rest.
+KEEPS = (1.0, 0.98, 0.9, 0.75, 0.5, 0.25, 0.1)
+#: Pieces of one length that one group of the ranking holds, about, and groups whose sums one window adds up.
+RANK_ROWS, RANK_GROUPS = 200, 1000
 #: Parts of texts that are encoded in one go, between marks: a control character that is a token of its own.
 TOGETHER, MARK = 2000, "\x01"
-#: Words whose ids a Python worker keeps, in about 100 MB.
-CACHE_WORDS = 500_000
+#: Parts of texts, and parts of these, whose ids a Python worker keeps, in about 100 MB each.
+CACHE_WORDS = 400_000
 PUNCTUATION = string.punctuation
 SPECIAL = "<|"  # special tokens begin so; they are found before capitals are dropped
 
@@ -54,6 +55,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_str(tokenizer)
         self.known: dict[str, bytes] = {"": b""}  # little-endian 32-bit numbers
+        self.whole: dict[str, bytes] = {}  # of parts of texts as they are
         self.mark = int(self.ids(MARK)[0])
 
     def ids(self, text: str) -> np.ndarray:
@@ -81,27 +83,28 @@ class Encoder:
         lists = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
         coded = lists.flatten().dictionary_encode()
         index = coded.indices.to_numpy()
-        heads, tails = [], []
-        for w in coded.dictionary.to_pylist():
-            head = w.rstrip(PUNCTUATION)
-            if SPECIAL in w or not head or not head[-1].isalpha():
-                heads.append(w)
-                tails.append("")
-                continue
-            heads.append(head.lower() if head.isascii() else head)
-            tails.append(w[len(head) :])
-        self.learn([*heads, *tails])
-        get = self.known.__getitem__
-        parts = [*map(get, heads), *map(get, tails)]
-        size = np.fromiter(map(len, parts), np.int64, len(parts)).reshape(2, -1) // 4
-        both = np.frombuffer(b"".join(parts), "<u4")
-        at = (np.cumsum(size.ravel()) - size.ravel()).reshape(2, -1)
-        pair = np.stack([index, index + size.shape[1]], axis=1).ravel()  # head and tail of each part of the texts
-        n = size.ravel()[pair]
-        begin = np.cumsum(n) - n
-        ids = both[np.repeat(at.ravel()[pair] - begin, n) + np.arange(n.sum())]
+        words = coded.dictionary.to_pylist()
+        parts = list(map(self.whole.get, words))
+        if new := [i for i, p in enumerate(parts) if p is None]:
+            heads, tails = [], []
+            for i in new:
+                w = words[i]
+                head = w.rstrip(PUNCTUATION)
+                if SPECIAL in w or not head or not head[-1].isalpha():
+                    heads.append(w)
+                    tails.append("")
+                    continue
+                heads.append(head.lower() if head.isascii() else head)
+                tails.append(w[len(head) :])
+            self.learn([*heads, *tails])
+            if len(self.whole) > CACHE_WORDS:
+                self.whole.clear()
+            for i, head, tail in zip(new, heads, tails, strict=True):
+                parts[i] = self.whole[words[i]] = self.known[head] + self.known[tail] if tail else self.known[head]
+        ids = np.frombuffer(b"".join(map(parts.__getitem__, index.tolist())), "<u4")
+        n = (np.fromiter(map(len, parts), np.int64, len(parts)) // 4)[index]
         ends = np.concatenate([[0], np.cumsum(n)])
-        return ids, ends[2 * (np.asarray(lists.offsets) - np.asarray(lists.offsets)[0])]
+        return ids, ends[np.asarray(lists.offsets) - np.asarray(lists.offsets)[0]]
 
 
 def encoder(tokenizer: str) -> Encoder:
@@ -139,12 +142,13 @@ def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY
                 names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * ids
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    return text_batches(docs).select("doc_id", "text").mapInArrow(run, PIECES + ", ids array<int>" * ids)
+    return docs.select("doc_id", "text").mapInArrow(run, PIECES + ", ids array<int>" * ids)
 
 
 class Plan(NamedTuple):
     """Where the pieces of each length go. Entry i takes those of length[i] with ranks from first[i] on: sequence[i] +
-    n // each[i] and offset[i] + n % each[i] * length[i], for the n-th of them."""
+    n // each[i] and offset[i] + n % each[i] * length[i], for the n-th of them. No packing has fewer sequences than bound;
+    value is the fractional solution's, priced the number of sequences that come from it."""
 
     length: np.ndarray
     first: np.ndarray
@@ -152,6 +156,12 @@ class Plan(NamedTuple):
     each: np.ndarray
     offset: np.ndarray
     sequences: int
+    bound: int
+    value: float
+    priced: int
+
+
+Configs = list[tuple[dict[int, int], int]]
 
 
 def prices_to_values(price: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -159,74 +169,134 @@ def prices_to_values(price: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     choice, 0 where one token stays free."""
     capacity = len(price) - 1
     value, last = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int32)
+    lengths = np.flatnonzero(price)
+    few = 3 * len(lengths) < capacity
+    worths, fits = price[lengths], np.searchsorted(lengths, np.arange(capacity + 1), "right").tolist()
     back = np.zeros(capacity + 1)  # back[capacity - c] is value[c], so that slices run forwards
     for c in range(1, capacity + 1):
-        worth = price[1 : c + 1] + back[capacity - c + 1 : capacity + 1]
-        k = int(worth.argmax())
-        if worth[k] > value[c - 1]:
-            value[c], last[c] = worth[k], k + 1
+        if few:
+            n = fits[c]
+            worth = worths[:n] + value[c - lengths[:n]]
+            k = int(worth.argmax()) if n else 0
+            length = int(lengths[k]) if n else 0
+        else:
+            worth = price[1 : c + 1] + back[capacity - c + 1 : capacity + 1]
+            k = int(worth.argmax())
+            length = k + 1
+        if length and worth[k] > value[c - 1]:
+            value[c], last[c] = worth[k], length
         else:
             value[c] = value[c - 1]
         back[capacity - c] = value[c]
     return value, last
 
 
-def configurations(histogram: np.ndarray) -> list[tuple[dict[int, int], int]]:
-    """How often each configuration (pieces of each length) is used, so that all pieces of the histogram are placed.
+def solve(histogram: np.ndarray) -> tuple[list[tuple[dict[int, int], float]], float]:
+    """The program: use as few configurations (pieces of each length) as possible, in any fractions, so that each length is
+    covered as often as it has pieces. A solution, and a lower bound from its prices.
 
-    The program: use as few configurations as possible, so that each length is covered as often as it has pieces. Prices
-    start in proportion to lengths and fall with exp(-ETA * part covered): multiplicative weights. At given prices, one
-    knapsack table gives the dearest configuration, also with any one length set; those of the lengths that are least
-    covered enter, each as often as STEP allows, in whole numbers. Rounding: of this solution the parts KEEPS are taken, best
-    fit places what each of them leaves, and the one with the fewest sequences is the plan.
+    Multiplicative weights: prices start in proportion to lengths and fall with exp(-ETA * part covered); covered lengths
+    are worth nothing. At given prices, one knapsack table gives the dearest configuration, also with any one length set;
+    those of the lengths that are least covered enter, each as far as covers STEP of its scarcest length. Prices over the
+    dearest configuration's worth are a solution of the dual program, so what all pieces are worth then is a bound.
     """
     capacity = len(histogram) - 1
-    left, total = histogram.astype(np.int64).copy(), np.maximum(histogram, 1).astype(float)
-    size = np.arange(capacity + 1, dtype=float)
-    out: list[tuple[dict[int, int], int]] = []
-    while left.sum() > LEAVE:
-        covered = 1 - left / total
-        price = np.where(left > 0, size * np.exp(-ETA * covered), 0)
-        last = prices_to_values(price)[1]
+    total = histogram.astype(float)
+    left, size = total.copy(), np.arange(capacity + 1, dtype=float)
+    out: list[tuple[dict[int, int], float]] = []
+    halves = (size > capacity / 2).astype(float) * (total > 0)  # no two of these share a sequence
+    bound = float(halves @ total)
+    while (todo := np.flatnonzero(left)).size:
+        covered = 1 - left[todo] / total[todo]
+        price = np.zeros(capacity + 1)
+        price[todo] = size[todo] * np.exp(-ETA * covered)
+        value, last = prices_to_values(price)
+        bound = max(bound, float(total @ price) / value[capacity])
         full = np.maximum.accumulate(np.where(last > 0, np.arange(capacity + 1), 0))  # what a choice for this room fills
-        todo = np.flatnonzero(left)
-        todo = todo[np.lexsort((-todo, covered[todo]))][:COLUMNS]
-        used = 0
-        for first in todo.tolist():
+        begun = len(out)
+        for first in todo[np.lexsort((-todo, covered))][:COLUMNS].tolist():
+            if not left[first]:
+                continue
             config, room = {first: 1}, capacity - first
             while room := int(full[room]):
                 k = int(last[room])
                 config[k] = config.get(k, 0) + 1
                 room -= k
-            ratio = [int(left[k]) // a for k, a in config.items()]
-            if min(ratio) == 0:  # prices are older than what is left
-                continue
-            times = max(1, min(min(ratio), *(int(STEP * total[k] / a) for k, a in config.items())))
+            if not all(left[k] for k in config):  # prices are older than what is left: take the longest that is left and fits
+                config = {k: a for k, a in config.items() if left[k]}
+                room = capacity - sum(k * a for k, a in config.items())
+                rest = np.flatnonzero(left[: room + 1])
+                while len(rest) and (n := int(np.searchsorted(rest, room, "right"))):
+                    k = int(rest[n - 1])
+                    config[k] = config.get(k, 0) + 1
+                    room -= k
+                if room > MOST_WASTE * capacity and len(out) > begun:
+                    continue
+            amount = min(min(STEP * total[k], left[k]) / a for k, a in config.items())
             for k, a in config.items():
-                left[k] -= a * times
-            out.append((config, times))
-            used += times
-        if not used:
-            break
-    plans = []
-    for keep in KEEPS:
-        part = [(c, int(keep * n)) for c, n in out]
+                left[k] -= a * amount
+                if left[k] < 1e-9 * total[k]:
+                    left[k] = 0
+            out.append((config, amount))
+    return out, bound
+
+
+def rounded(solution: list[tuple[dict[int, int], float]], histogram: np.ndarray) -> Configs:
+    """Configurations in whole numbers, of which no length has too few pieces: first the whole parts of the solution, then
+    one more of each that still fits, those that waste least first, and of these the most used."""
+    left = histogram.astype(np.int64).copy()
+    capacity = len(histogram) - 1
+    merged: dict[tuple[tuple[int, int], ...], float] = {}
+    for config, amount in solution:
+        key = tuple(sorted(config.items()))
+        merged[key] = merged.get(key, 0.0) + amount
+    order = sorted(merged.items(), key=lambda x: (capacity - sum(k * a for k, a in x[0]), -x[1], x[0]))
+    times = dict.fromkeys(merged, 0)
+    for more in (False, True):
+        for config, amount in order:
+            n = min(1 if more else int(amount + 1e-9), *(int(left[k]) // a for k, a in config))
+            if n > 0:
+                times[config] += n
+                for k, a in config:
+                    left[k] -= a * n
+    return [(dict(c), times[c]) for c, _ in order if times[c]]
+
+
+def configurations(histogram: np.ndarray) -> tuple[Configs, Configs, int, float]:
+    """How often each configuration is used, so that all pieces of the histogram are placed: those of the program's
+    solution, and those that best fit makes of what the rounding leaves; a lower bound, and the solution's value.
+
+    Of the rounded solution, which begins with the fullest configurations, the parts KEEPS are kept in turn; the one with the
+    fewest sequences in all is the plan. Should best fit alone need fewer than any of these, it is the plan.
+    """
+    solution, bound = solve(histogram)
+    whole = rounded(solution, histogram)
+    count = sum(n for _, n in whole)
+    best: tuple[Configs, Configs] | None = None
+    for keep in (*KEEPS, 0.0):
+        room, part = round(keep * count), []
+        for c, n in whole:
+            if n := min(n, room):
+                part.append((c, n))
+                room -= n
         rest = histogram.astype(np.int64).copy()
         for c, n in part:
             for k, a in c.items():
                 rest[k] -= a * n
-        plans.append([x for x in part if x[1]] + best_fit(rest))
-    return min(plans, key=lambda p: sum(n for _, n in p))
+        found = part, best_fit(rest)
+        if best is None or sum(n for p in found for _, n in p) < sum(n for p in best for _, n in p):
+            best = found
+    return *best, math.ceil(bound - 1e-6), sum(x for _, x in solution)
 
 
-def best_fit(histogram: np.ndarray) -> list[tuple[dict[int, int], int]]:
+def best_fit(histogram: np.ndarray) -> Configs:
     """Configurations and how often each is used: largest pieces first, each into the fullest sequence that can take it.
 
     Sequences that hold the same are one entry with a count, so the work depends on the lengths, not on the pieces."""
     capacity = len(histogram) - 1
     filled: dict[int, list[tuple[dict[int, int], int]]] = {}  # by room
     rooms: list[int] = []
-    done: list[tuple[dict[int, int], int]] = []
+    done: Configs = []
 
     def put(config: dict[int, int], times: int, room: int) -> None:
         if not room:
@@ -260,7 +330,8 @@ def best_fit(histogram: np.ndarray) -> list[tuple[dict[int, int], int]]:
 
 def make_plan(histogram: np.ndarray) -> Plan:
     rows, sequence, placed = [], 0, np.zeros(len(histogram), np.int64)
-    for config, times in configurations(histogram):
+    priced, fitted, bound, value = configurations(histogram)
+    for config, times in priced + fitted:
         offset = 0
         for k, a in sorted(config.items(), reverse=True):
             rows.append((k, placed[k], sequence, a, offset))
@@ -269,14 +340,15 @@ def make_plan(histogram: np.ndarray) -> Plan:
         sequence += times
     table = np.array(rows, np.int64).reshape(-1, 5)
     table = table[np.lexsort((table[:, 1], table[:, 0]))]
-    return Plan(*table.T, sequence)
+    return Plan(*table.T, sequence, bound, value, sum(n for _, n in priced))
 
 
 def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Pieces (doc_id, piece, start, length, ids_crc32, on disk, as they are read twice) with sequence_id and offset.
 
     Each sequence holds at most capacity tokens, without gaps from offset 0. What the driver gathers is a histogram of
-    at most capacity rows. A piece's rank among those of its length comes from groups of about RANK_ROWS pieces by
+    at most capacity rows. A null doc_id is a value like others, and repeated pieces are placed each; an empty table gives an
+    empty one. A piece's rank among those of its length comes from groups of about RANK_ROWS pieces by
     a hash, so that a frequent length is no single task's.
     """
     counts = found.groupBy("length").agg(F.count("*").alias("n")).collect()
@@ -286,8 +358,12 @@ def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     plan = make_plan(histogram)
     groups = F.lit(np.maximum(1, -(-histogram // RANK_ROWS)).astype(int).tolist())
     keyed = found.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit("rank")), F.element_at(groups, (F.col("length") + 1).cast("int"))))
-    before = Window.partitionBy("length").orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
-    sums = keyed.groupBy("length", "_group").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    earlier = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    total = lambda w: F.coalesce(F.sum("_n").over(w), F.lit(0).cast("long"))
+    sums = materialize(keyed.groupBy("length", "_group").agg(F.count("*").alias("_n")).withColumn("_block", F.floor(F.col("_group") / RANK_GROUPS)), "pack-groups")
+    blocks = sums.groupBy("length", "_block").agg(F.sum("_n").alias("_n")).select("length", "_block", total(earlier("length").orderBy("_block")).alias("_start"))
+    sums = sums.select("length", "_block", "_group", total(earlier("length", "_block").orderBy("_group")).alias("_inner")).join(blocks, ["length", "_block"])
+    sums = materialize(sums.select("length", "_group", (F.col("_start") + F.col("_inner")).alias("_before")), "pack-ranks")
     order = Window.partitionBy("length", "_group").orderBy("doc_id", "piece", "start", "ids_crc32")
     ranked = keyed.withColumn("_row", F.row_number().over(order)).join(sums, ["length", "_group"])
     ranked = ranked.select(*found.columns, (F.col("_before") + F.col("_row") - 1).alias("_rank"))
@@ -309,7 +385,8 @@ def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, ids: bool = False) -> DataFrame:
-    """docs (doc_id, text) -> a row per piece: doc_id, piece, start, length, ids_crc32 (and ids), sequence_id, offset.
+    """docs (doc_id, text; other columns, whatever their names, are not read) -> a row per piece: doc_id, piece, start, length,
+    ids_crc32 (and ids), sequence_id, offset.
 
     A null or empty text is one piece, the end id alone; a null doc_id stays null; repeated rows are packed each; an
     empty table gives an empty one.

@@ -2,6 +2,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -69,22 +70,19 @@ def test_empty_table(spark):
 @settings(max_examples=40, deadline=None)
 @given(st.dictionaries(st.integers(1, 60), st.integers(1, 300) | st.integers(1, 9), min_size=1, max_size=20))
 def test_configurations_place_all_pieces(counts):
-    leave = packing.LEAVE
-    packing.LEAVE = 10
     h = np.zeros(61, np.int64)
     for k, n in counts.items():
         h[k] = n
     placed = Counter()
     bins = 0
-    found = packing.configurations(h)
-    packing.LEAVE = leave
-    for config, times in found:
+    priced, fitted, bound, value = packing.configurations(h)
+    for config, times in priced + fitted:
         assert sum(k * a for k, a in config.items()) <= 60 and times > 0
         bins += times
         for k, a in config.items():
             placed[k] += a * times
     assert placed == Counter(counts)
-    assert bins <= sum(n for _, n in packing.best_fit(h))
+    assert bound <= bins <= sum(n for _, n in packing.best_fit(h)) and value >= bound - 1 - 1e-6
     assert sum(n for _, n in packing.best_fit(h)) == one_by_one(h)
 
 
@@ -107,6 +105,25 @@ def test_plan_is_near_the_bound():
     assert plan.sequences <= 1.001 * np.ceil(lengths.sum() / 4096)
 
 
+@pytest.mark.parametrize("n", [100, 1000, 60_000])
+def test_priced_configurations_make_the_plan(n):
+    """At any size sequences come from the program, and the plan is never worse than best fit's."""
+    lengths = np.clip(np.random.default_rng(n).lognormal(6.3, 1.1, n).astype(int), 1, 4096)
+    h = np.bincount(lengths, minlength=4097)
+    plan = packing.make_plan(h)
+    best = sum(k for _, k in packing.best_fit(h))
+    assert plan.priced >= 0.05 * plan.sequences and plan.bound <= plan.sequences <= best
+    assert plan.bound >= lengths.sum() / 4096 and plan.value <= 1.02 * plan.bound + 1
+
+
+def test_the_bound_is_more_than_the_tokens():
+    """Pieces of which no two share a sequence: the prices show that each needs one."""
+    h = np.zeros(101, np.int64)
+    h[[51, 52, 60]] = 40, 30, 50
+    plan = packing.make_plan(h)
+    assert plan.sequences == 120 and plan.bound == 120
+
+
 def test_knapsack_against_all_choices():
     rng = np.random.default_rng(3)
     price = np.where(rng.random(31) < 0.4, rng.random(31) * np.arange(31), 0)
