@@ -16,14 +16,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, text_batches
+from .common import materialize
 from .urlfilter import host_of
 
-#: The slots of a host's wrapper come from as many of its different pages at most, taken by a hash; hosts with fewer than
-#: LEAST_PAGES different ones have none.
-SAMPLE_PAGES, LEAST_PAGES = 8, 3
-#: A text at a path is template if at least this percentage of all different pages of the host hold it.
-CONSTANT_PERCENT = 95
+#: The slots of a host's wrapper come from as many of its different pages at most, taken by a hash, and from as many more of
+#: each layout that LAYOUT_PERCENT of its different pages have; a host with one page has none, as nothing can be compared.
+SAMPLE_PAGES, LAYOUT_PAGES, LAYOUT_PERCENT, LEAST_PAGES = 8, 4, 5, 2
+#: A text at a path is template if at least this percentage of all different pages of the host hold it, or of those of its
+#: pages that have one layout, LEAST_LAYOUT at least.
+CONSTANT_PERCENT, LEAST_LAYOUT = 95, 5
 #: Hashes of pages that a task remembers to read copies once.
 SEEN_PAGES = 100_000
 #: Wrappers up to as many bytes in all are broadcast; beyond, they are joined by a shuffle.
@@ -51,10 +52,13 @@ ASIDE_WORDS = frozenset(
     "ad ads advert adverts advertisement banner sponsor sponsored promo nav navbar navigation menu breadcrumb breadcrumbs sidebar header masthead footer "
     "cookie cookies consent notice notices alert popup modal overlay comment comments disqus respond reply replies share sharing social newsletter subscribe signup related".split()
 )
+LINES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th blockquote pre a b i em strong span code".split())
 MAIN_WORDS = frozenset("article main content post entry story".split())
 #: Parts of a class, id or role that make the rest of it a state of the element, as in no-sidebar or header-fixed.
 STATE_WORDS = frozenset("no not non without has have with is hide show open opened closed fixed sticky left right top bottom hidden visible on off enabled disabled active collapsed expanded free layout".split())
-_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(?:svg|math)(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?<=/)>|<({RAW})(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|</[^a-zA-Z>][^>]*>|</>", re.S | re.I)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_TAG_END = re.compile("[>\"']")
+_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)[^>]*>?", re.I) for t in RAW.split("|")}
 _MARK = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _PARTS = re.compile(r"[a-z0-9]+")
 _SPACE = re.compile(r"\s+")
@@ -82,11 +86,14 @@ class Node:
 
 
 def aside_by(tag: str, tokens: list[list[str]]) -> int:
-    """What the tag, and the classes, ids and roles as lists of their parts, say; see Node."""
+    """What the tag, and the classes, ids and roles as lists of their parts, say; see Node. Elements that hold a line of text
+    are asides only if all their marks say so."""
     if tag in ASIDE:
-        return 2
+        return 1 if tag == "form" else 2
     if tag in ("html", "body", "main"):
         return 0
+    if tag in LINES:
+        return 2 if tokens and all(not ASIDE_WORDS.isdisjoint(t) and STATE_WORDS.isdisjoint(t) for t in tokens) else 0
     if any(len(t) == 1 and t[0] in ASIDE_WORDS for t in tokens):
         return 2
     if any(len(t) == 1 and t[0] in MAIN_WORDS for t in tokens):
@@ -95,8 +102,8 @@ def aside_by(tag: str, tokens: list[list[str]]) -> int:
 
 
 def clear_asides(root: Node) -> None:
-    """An element that is an aside by a part of a mark only is none if it holds most of the page's text and is an article,
-    or holds a main element, a first heading or an article that is no aside."""
+    """A form, or an element that is an aside by a part of a mark only, is none if it holds most of the page's text and is
+    an article, or holds a main element, a first heading, an article that is no aside, or an element marked as main."""
     order, stack = [], [root]
     while stack:
         node = stack.pop()
@@ -108,33 +115,83 @@ def clear_asides(root: Node) -> None:
     for n in reversed(order):
         below = [held[id(k)] for k in n.elements() if id(k) in held]
         size = sum(len(k) for k in n.kids if k.__class__ is str) + sum(h[0] for h in below)
-        held[id(n)] = size, n.tag in ("main", "h1") or n.tag == "article" and not n.aside or any(h[1] for h in below)
+        held[id(n)] = size, n.tag in ("main", "h1") or not n.aside and (n.tag == "article" or not MAIN_WORDS.isdisjoint(n.mark.split())) or any(h[1] for h in below)
     for n in order:
         size, marked = held[id(n)]
         if n.aside and (marked or n.tag == "article") and 2 * size > held[id(root)][0]:
             n.aside = 0
 
 
+def tag_end(source: str, at: int, missing: set[str]) -> int:
+    """Where the > of a tag is, outside of quotes; -1 if it never ends. A quote that is not closed is a character like others.
+    missing: the quotes that do not occur behind where they were last looked for, so that no text is searched twice."""
+    while m := _TAG_END.search(source, at):
+        if m[0] == ">":
+            return m.start()
+        at = m.end()
+        if m[0] not in missing:
+            if (end := source.find(m[0], at)) < 0:
+                missing.add(m[0])
+            else:
+                at = end + 1
+    return -1
+
+
+def tokens(source: str) -> Iterator[tuple[str, str, str]]:
+    """The markup as (kind, what, marks): a text, an opening or closing tag's name, or an element that leaves nothing ("raw").
+    What a comment, a raw element or a tag that never ends swallows is left out, up to the end of the page. One pass."""
+    at, begun, n = 0, 0, len(source)
+    missing: set[str] = set()
+    while (at := source.find("<", at)) >= 0:
+        after = source[at + 1 : at + 2]
+        closing = after == "/"
+        m = _NAME.match(source, at + 1 + closing)
+        if not m and after not in ("!", "?", "/"):
+            at += 1
+            continue
+        if at > begun:
+            yield "text", source[begun:at], ""
+        if source.startswith("<!--", at):
+            end = source.find("-->", at + 4)
+            begun = at = n if end < 0 else end + 3
+            continue
+        end = tag_end(source, m.end(), missing) if m and not closing else source.find(">", at)
+        if end < 0:
+            return
+        begun = at = end + 1
+        if not m:
+            continue
+        tag = m[0].lower()
+        if closing:
+            yield "close", tag, ""
+            continue
+        marks = source[m.end() : end]
+        if tag in _RAW_END:
+            if not (tag in ("svg", "math") and marks.endswith("/")):
+                over = _RAW_END[tag].search(source, at)
+                begun = at = over.end() if over else n
+            yield "raw", tag, ""
+            continue
+        yield "open", tag, marks
+    if begun < n:
+        yield "text", source[begun:], ""
+
+
 def parse(source: str) -> Node:
     """The tree of a page. Scripts, styles, comments and the like leave nothing; unclosed elements end where HTML ends them."""
     root = Node("html")
     stack = [root]
-    at = 0
-    for m in _TOKEN.finditer(source):
-        if m.start() > at:
-            stack[-1].kids.append(source[at : m.start()])
-        at = m.end()
-        tag = m[3]
-        if not tag:
+    for kind, tag, marks in tokens(source):
+        if kind == "text":
+            stack[-1].kids.append(tag)
             continue
-        tag = tag.lower()
-        if m[2]:
+        if kind == "close":
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag:
                     del stack[i:]
                     break
             continue
-        if tag == "html":
+        if kind == "raw" or tag == "html":
             continue
         ends, scope = CLOSES.get(tag, (None, None))
         if ends:
@@ -154,13 +211,11 @@ def parse(source: str) -> Node:
                     break
             if tag == "body" and stack[-1].tag == "head":
                 stack.pop()
-        tokens = [_PARTS.findall(w) for x in _MARK.finditer(m[4]) for w in (x[1] or x[2] or x[3] or "").lower().split()] if m[4] else []
-        node = Node(tag, " ".join(sorted({w for t in tokens for w in t})), aside_by(tag, tokens))
+        words = [_PARTS.findall(w) for x in _MARK.finditer(marks) for w in (x[1] or x[2] or x[3] or "").lower().split()] if marks else []
+        node = Node(tag, " ".join(sorted({w for t in words for w in t})), aside_by(tag, words))
         stack[-1].kids.append(node)
-        if tag not in VOID and not m[4].endswith("/") and len(stack) < MOST_DEPTH:
+        if tag not in VOID and not marks.endswith("/") and len(stack) < MOST_DEPTH:
             stack.append(node)
-    if at < len(source):
-        stack[-1].kids.append(source[at:])
     clear_asides(root)
     return root
 
@@ -213,8 +268,14 @@ def held_at(path: bytes, text: str) -> int:
     return int.from_bytes(hashlib.blake2b(path + text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
 
-def holds(source: str) -> set[int]:
-    """The hashes of all paths and texts of a page, without asides."""
+def layout_of(root: Node) -> int:
+    """A hash of what stands side by side in the body, without asides and without order."""
+    body = next((k for k in root.elements() if k.tag == "body"), root)
+    return held_at(b"", "|".join(sorted({k.sign for k in body.elements() if not is_aside(k)})))
+
+
+def holds(source: str) -> tuple[int, set[int]]:
+    """The layout of a page, and the hashes of all its paths and texts, without asides."""
     root = parse(source)
     out: set[int] = set()
     stack = [(root, step(b"", root))]
@@ -225,7 +286,7 @@ def holds(source: str) -> set[int]:
         for run in runs([k for k in node.elements() if not is_aside(k)]):
             below = step(path, run[0])
             stack += [(k, below) for k in run]
-    return out
+    return layout_of(root), out
 
 
 def match(run: list[Node], slot: Slot, memo: dict) -> int:
@@ -306,9 +367,14 @@ def induce(pages: list[str]) -> Wrapper | None:
     slots = skeleton(pages)
     if slots is None:
         return None
-    different = dict.fromkeys(pages)
-    found = Counter(x for p in different for x in holds(p))
-    return Wrapper(slots, frozenset(x for x, n in found.items() if 100 * n >= CONSTANT_PERCENT * len(different)))
+    found: dict[int | None, Counter] = defaultdict(Counter)
+    total: Counter = Counter()
+    for p in dict.fromkeys(pages):
+        layout, held = holds(p)
+        for group in (None, layout):
+            total[group] += 1
+            found[group].update(held)
+    return Wrapper(slots, frozenset(x for g, c in found.items() if g is None or total[g] >= LEAST_LAYOUT for x, n in c.items() if 100 * n >= CONSTANT_PERCENT * total[g]))
 
 
 def apply(run: list[Node], slot: Slot, path: bytes, constant: frozenset[int], memo: dict) -> None:
@@ -419,8 +485,8 @@ def extract(source: str | None, wrapper: Wrapper | None) -> str:
 
 
 def different_pages(pages: DataFrame) -> DataFrame:
-    """host, at (a hash of html), page_id (of one row), held (see holds) for each different page of each host."""
-    rows = text_batches(pages).where("html <> ''").select(host_of(F.col("url")).alias("host"), F.xxhash64("html").alias("at"), F.col("page_id").cast("long").alias("page_id"), "html")
+    """host, at (a hash of html), page_id (of one row), layout and held (see holds) for each different page of each host."""
+    rows = pages.where("html <> ''").select(host_of(F.col("url")).alias("host"), F.xxhash64("html").alias("at"), F.col("page_id").cast("long").alias("page_id"), "html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[str, int]] = set()
@@ -434,25 +500,33 @@ def different_pages(pages: DataFrame) -> DataFrame:
                     seen.add(key)
                     new.append(i)
             b = b.take(pa.array(new, pa.int64()))
-            held = pa.array([sorted(holds(h)) for h in b.column("html").to_pylist()], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column("host"), b.column("at"), b.column("page_id"), held], ["host", "at", "page_id", "held"])
+            found = [holds(h) for h in b.column("html").to_pylist()]
+            held = pa.array([sorted(h) for _, h in found], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column("host"), b.column("at"), b.column("page_id"), pa.array([x for x, _ in found], pa.int64()), held], ["host", "at", "page_id", "layout", "held"])
 
-    return rows.mapInArrow(run, "host string, at long, page_id long, held array<long>").groupBy("host", "at").agg(F.min("page_id").alias("page_id"), F.first("held").alias("held"))
+    rows = rows.mapInArrow(run, "host string, at long, page_id long, layout long, held array<long>")
+    return rows.groupBy("host", "at").agg(F.min("page_id").alias("page_id"), F.first("layout").alias("layout"), F.first("held").alias("held"))
 
 
 def constants(different: DataFrame) -> DataFrame:
     """host, constant (comma-separated) for each host with enough different pages, counted over all of them."""
-    total = different.groupBy("host").agg(F.count("*").alias("total")).where(F.col("total") >= LEAST_PAGES)
-    counts = different.select("host", F.explode("held").alias("x")).groupBy("host", "x").agg(F.count("*").alias("n")).where(100 * F.col("n") >= CONSTANT_PERCENT * LEAST_PAGES)
-    counts = counts.join(total, "host").where(100 * F.col("n") >= CONSTANT_PERCENT * F.col("total"))
-    return counts.groupBy("host").agg(F.concat_ws(",", F.array_sort(F.collect_list("x")).cast("array<string>")).alias("constant"))
+    def often(*group: str, least: int) -> DataFrame:
+        total = different.groupBy(*group).agg(F.count("*").alias("total")).where(F.col("total") >= least)
+        counts = different.select(*group, F.explode("held").alias("x")).groupBy(*group, "x").agg(F.count("*").alias("n")).where(100 * F.col("n") >= CONSTANT_PERCENT * least)
+        return counts.join(total, list(group)).where(100 * F.col("n") >= CONSTANT_PERCENT * F.col("total")).select("host", "x")
+
+    found = often("host", least=LEAST_PAGES).union(often("host", "layout", least=LEAST_LAYOUT)).distinct()
+    return found.groupBy("host").agg(F.concat_ws(",", F.array_sort(F.collect_list("x")).cast("array<string>")).alias("constant"))
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
     """host, wrapper (JSON) for each host with enough different pages."""
     different = materialize(different_pages(pages), "html-pages")
-    order = Window.partitionBy("host").orderBy("at")
-    picked = different.select("host", "at", "page_id").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= SAMPLE_PAGES)
+    some = different.select("host", "at", "page_id", "layout")
+    first = lambda n, *by: some.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy("at"))).where(F.col("_n") <= n).drop("_n")
+    total = some.groupBy("host").agg(F.count("*").alias("_all"))
+    often = some.groupBy("host", "layout").agg(F.count("*").alias("_n")).join(total, "host").where(100 * F.col("_n") >= LAYOUT_PERCENT * F.col("_all")).where(F.col("_n") >= LEAST_LAYOUT)
+    picked = first(SAMPLE_PAGES, "host").union(first(LAYOUT_PAGES, "host", "layout").join(often.select("host", "layout"), ["host", "layout"]).select(*some.columns)).distinct()
     picked = materialize(picked.select(F.col("host").alias("_host"), F.col("at").alias("_at"), F.col("page_id").alias("_page")), "html-sample")
     rows = pages.where("html <> ''").select(host_of(F.col("url")).alias("host"), F.xxhash64("html").alias("at"), F.col("page_id").cast("long").alias("page_id"), "html")
     rows = rows.join(picked, (F.col("host") == F.col("_host")) & (F.col("at") == F.col("_at")) & F.col("page_id").eqNullSafe(F.col("_page")))
@@ -477,7 +551,7 @@ def extract_main(pages: DataFrame) -> DataFrame:
     found = materialize(wrappers(pages), "html-wrappers")
     size = found.agg(F.coalesce(F.sum(F.length("wrapper") + F.length("host")), F.lit(0))).first()[0]
     found = found.select(F.col("host").alias("_host"), "wrapper")
-    rows = text_batches(pages).select("page_id", "url", "html").withColumn("_key", host_of(F.col("url")))
+    rows = pages.select("page_id", "url", "html").withColumn("_key", host_of(F.col("url")))
     rows = rows.join(F.broadcast(found) if size <= BROADCAST_BYTES else found, F.col("_key") == F.col("_host"), "left").select("page_id", "url", "html", "wrapper")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,6 +1,7 @@
 import html
 import random
 import re
+import time
 
 from hypothesis import given
 from hypothesis import strategies as st
@@ -79,6 +80,46 @@ def test_self_closed_drawings_end_at_their_tag():
     assert H.extract("<article><p>One</p><svg><path/></article>", None) == "One"
 
 
+def test_asides_do_not_swallow_the_page():
+    for outer in ('<body class="has-sidebar single-post">%s</body>', '<body class="with-nav">%s</body>', '<div class="page header-fixed">%s</div>', '<form id="aspnetForm">%s</form>', "<form>%s<input></form>"):
+        for inner in ("<article>%s</article>", "<main>%s</main>", '<div class="content">%s</div>'):
+            src = outer % (inner % f'<p class="lead promo">Text {LONG}</p><aside>a<nav>n<p>in</p></nav></aside><p class="ad">Buy</p><form><p>Search</p></form>')
+            assert H.extract(src, None) == f"Text {LONG}"
+
+
+def test_markup_that_never_ends_takes_linear_time():
+    for part in ("<a x=", '<a x="', "<p class='a\">", "<!--", "</x", "<svg ", '<p class="', "<script>", "<![x", "<a title='>\""):
+        took = []
+        for n in (20_000, 160_000):
+            began = time.perf_counter()
+            H.parse(part * n)
+            took.append(time.perf_counter() - began)
+        assert took[1] < 24 * took[0] + 0.2
+    began = time.perf_counter()
+    H.parse("<a x=" * 200_000)
+    assert time.perf_counter() - began < 1
+
+
+def test_hosts_of_one_and_two_pages(spark):
+    def at(i):
+        return f"<body><div><p>Site slogan</p></div><article><h1>Head {i}</h1><p>Text {i} {LONG}</p><p>Imprint</p></article><div class='ad'>x{i}</div></body>"
+
+    rows = [(1, "http://one/", at(1)), (2, "http://two/a", at(2)), (3, "http://two/b", at(3)), (4, "http://two/c", at(3))]
+    got = {r["page_id"]: r["text"] for r in H.query(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1] == f"Head 1\n\nText 1 {LONG}\n\nImprint"
+    assert all(got[i] == f"Head {min(i, 3)}\n\nText {min(i, 3)} {LONG}" for i in (2, 3, 4))
+
+
+def test_each_layout_of_a_host_has_its_template(spark):
+    def at(i):
+        name = ("blog", "shop", "forum", "wiki")[i % 4]
+        return f"<body><div class='{name}-page'><p>Welcome to the {name}</p><article><h1>Head {i}</h1><p>Text {i} {LONG}</p><p>Imprint of the {name}</p></article></div></body>"
+
+    rows = [(i, "http://h/", at(i)) for i in range(80)] + [(99, "http://h/", "<body><section><p>Lone page</p></section></body>")]
+    got = {r["page_id"]: r["text"] for r in H.query(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Head {i}\n\nText {i} {LONG}" for i in range(80)) and got[99] == "Lone page"
+
+
 @given(st.text(st.sampled_from("<>/!-pdivarticle \"'=&;x"), max_size=80))
 def test_any_markup_parses(src):
     text = H.extract(src, None)
