@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,6 +76,21 @@ def release() -> None:
 atexit.register(release)
 
 
+def trim() -> None:
+    """Give memory that a Python worker has freed back to the system, where its C library can."""
+    pa.default_memory_pool().release_unused()
+    if give_back := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        give_back(0)
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of a few rows, so that what is made of whole texts is small."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, rows):
+            yield whole.slice(at, rows)
+        trim()
+
+
 def lower_ascii(c: Column) -> Column:
     """A-Z in lower case; other letters stay."""
     return F.translate(c, UPPER, LOWER)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize
+from .common import materialize, slices
 from .urlfilter import host_of
 
 #: The slots of a host's wrapper come from as many of its different pages at most, taken by a hash, and from as many more of
@@ -490,7 +490,7 @@ def different_pages(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[str, int]] = set()
-        for b in batches:
+        for b in slices(batches):
             hosts, ats = b.column("host").to_pylist(), b.column("at").to_pylist()
             new = []
             for i, key in enumerate(zip(hosts, ats, strict=True)):
@@ -556,18 +556,16 @@ def extract_main(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, Wrapper] = {}
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                b = whole.slice(at, 500)
-                texts = []
-                for source, w in zip(b.column("html").to_pylist(), b.column("wrapper").to_pylist(), strict=True):
-                    if w and w not in known:
-                        if len(known) > 200:
-                            known.clear()
-                        slots, constant = json.loads(w)
-                        known[w] = Wrapper(Slot.of(slots), frozenset(constant))
-                    texts.append(extract(source, known[w] if w else None))
-                yield pa.RecordBatch.from_arrays([b.column("page_id").cast(pa.int64()), b.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
+        for b in slices(batches):
+            texts = []
+            for source, w in zip(b.column("html").to_pylist(), b.column("wrapper").to_pylist(), strict=True):
+                if w and w not in known:
+                    if len(known) > 200:
+                        known.clear()
+                    slots, constant = json.loads(w)
+                    known[w] = Wrapper(Slot.of(slots), frozenset(constant))
+                texts.append(extract(source, known[w] if w else None))
+            yield pa.RecordBatch.from_arrays([b.column("page_id").cast(pa.int64()), b.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")
 

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices, trim
 
 VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
 #: At most about as many documents of each language are learned from, taken by a hash of doc_id.
@@ -219,11 +220,9 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                langs, scores = scorer(part.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*part.schema.names, "lang_pred", "score"])
+        for part in slices(batches):
+            langs, scores = scorer(part.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*part.schema.names, "lang_pred", "score"])
 
     schema = base.withColumn("lang_pred", F.lit("")).withColumn("score", F.lit(0.0)).schema
     return base.mapInArrow(run, schema)
@@ -245,6 +244,7 @@ def keep(docs: DataFrame, least: float) -> DataFrame:
                 langs, scores = scorer(texts.slice(at, 500).to_pylist())
                 out += [g != UNDETERMINED and s >= least for g, s in zip(langs, scores, strict=True)]
             yield pa.array(out, pa.bool_())
+            trim()
 
     return docs.where(F.arrow_udf(speaks, "boolean")(F.col("text")))
 

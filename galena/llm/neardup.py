@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import discard, materialize
+from .common import discard, materialize, slices, trim
 from .graph import components
 
 #: Words of a shingle; sets are linked from this percentage of their union on.
@@ -35,7 +35,7 @@ LEAST_SHARED = 34
 #: Members of one group that a node larger than SMALL is dealt into, and the sets of the node that join each of its groups.
 GROUP, PIVOTS = 512, 4
 #: Hashes of full sets that one group compares, about; of more, blocks meet block by block.
-MOST_HASHES = 4_000_000
+MOST_HASHES = 1_000_000
 #: Up to as many keys are held in a Bloom filter (1 MB for each million), so that only what may be concerned is shuffled;
 #: beyond, all rows are. The results are the same.
 FILTER_KEYS = 8_000_000
@@ -95,24 +95,22 @@ def sets(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(words)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
-                n, prints, wide, narrow = [], [], [], []
-                for text in batch.column("text").to_pylist():
-                    s = shingle(text)
-                    n.append(len(s))
-                    if not len(s):
-                        prints.append(None)
-                        wide.append(None)
-                        narrow.append(None)
-                        continue
-                    m = minwise(s)
-                    prints.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                    wide.append(m.tobytes())
-                    narrow.append((m & 255).astype(np.uint8).tobytes())
-                kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *(pa.array(x, t) for x, t in zip((n, prints, wide, narrow), kinds, strict=True))], ["doc_id", "n", "print", "wide", "narrow"])
+        for batch in slices(batches):
+            n, prints, wide, narrow = [], [], [], []
+            for text in batch.column("text").to_pylist():
+                s = shingle(text)
+                n.append(len(s))
+                if not len(s):
+                    prints.append(None)
+                    wide.append(None)
+                    narrow.append(None)
+                    continue
+                m = minwise(s)
+                prints.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                wide.append(m.tobytes())
+                narrow.append((m & 255).astype(np.uint8).tobytes())
+            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *(pa.array(x, t) for x, t in zip((n, prints, wide, narrow), kinds, strict=True))], ["doc_id", "n", "print", "wide", "narrow"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, print binary, wide binary, narrow binary")
 
@@ -246,6 +244,7 @@ def picked(members: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
                 if j - i > 2:
                     keep[i:j] = resembling(n[i:j], narrow[i:j], label[i:j], asked[i:j], percent).any(axis=0)
             yield from t.filter(pa.array(keep)).to_batches()
+            trim()
 
     rows = members.join(sketches, F.col("rep") == F.col("_rep")).select("group", "rep", "label", "asked", "n", "narrow")
     return rows.repartition("group").sortWithinPartitions("group", "rep").mapInArrow(run, MEMBERS)
@@ -265,25 +264,25 @@ def compared(docs: DataFrame, members: DataFrame, sketches: DataFrame, words: in
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, last, data = Shingler(words), None, b""
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                b, found = whole.slice(at, 500), []
-                for text in b.column("text").to_pylist():
-                    if text != last:
-                        last, data = text, shingle(text).tobytes()
-                    found.append(data)
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(found, pa.binary())], [*b.schema.names[:-1], "full"])
+        for b in slices(batches):
+            found = []
+            for text in b.column("text").to_pylist():
+                if text != last:
+                    last, data = text, shingle(text).tobytes()
+                found.append(data)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(found, pa.binary())], [*b.schema.names[:-1], "full"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in groups(batches, ["group"]):
             cuts, out = bounds(t, ["group"]), []
             label, asked, n, narrow = t.column("label").to_numpy(), t.column("asked").to_numpy(), t.column("n").to_numpy(), _narrow(t)
-            sets = t.column("full").to_pylist()
+            sets = t.column("full")
             for i, j in pairwise(cuts.tolist()):
                 if j - i > 1:
                     near = resembling(n[i:j], narrow[i:j], label[i:j], asked[i:j], percent)
-                    out += confirm(label[i:j], near, [np.frombuffer(s, np.uint64) for s in sets[i:j]], percent)
+                    out += confirm(label[i:j], near, [np.frombuffer(s, np.uint64) for s in sets.slice(i, j - i).to_pylist()], percent)
             yield pa.RecordBatch.from_pydict({"a": pa.array([p[0] for p in out], pa.int64()), "b": pa.array([p[1] for p in out], pa.int64())})
+            trim()
 
     texts = docs.select("doc_id", "text")
     if (n := near.count()) <= FILTER_KEYS:  # texts of documents without candidates are not shuffled

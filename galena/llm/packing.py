@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize
+from .common import materialize, slices
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 CAPACITY, END_ID = 4096, 1
@@ -36,8 +36,8 @@ KEEPS = (1.0, 0.98, 0.9, 0.75, 0.5, 0.25, 0.1)
 RANK_ROWS, RANK_GROUPS = 200, 1000
 #: Parts of texts that are encoded in one go, between marks: a control character that is a token of its own.
 TOGETHER, MARK = 2000, "\x01"
-#: Parts of texts, and parts of these, whose ids a Python worker keeps, in about 100 MB each.
-CACHE_WORDS = 400_000
+#: Parts of texts, and parts of these, whose ids a Python worker keeps, in about 60 MB each.
+CACHE_WORDS = 250_000
 PUNCTUATION = string.punctuation
 SPECIAL = "<|"  # special tokens begin so; they are found before capitals are dropped
 
@@ -128,19 +128,18 @@ def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(shared.value)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 2500):
-                batch, rows = whole.slice(at, 2500), []
-                found, cuts = encode(batch.column("text"))
-                found, cuts = found.tobytes(), (4 * cuts).tolist()
-                for doc_id, a, b in zip(batch.column("doc_id").to_pylist(), cuts[:-1], cuts[1:], strict=True):
-                    data = found[a:b] + end
-                    for k, i in enumerate(range(0, len(data), wide)):
-                        part = data[i : i + wide]
-                        rows.append((doc_id, k, i // 4, len(part) // 4, zlib.crc32(part)) + ((np.frombuffer(part, "<u4").astype(np.int32).tolist(),) if ids else ()))
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()] + [pa.list_(pa.int32())] * ids
-                names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * ids
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+        for batch in slices(batches, 1000):
+            rows = []
+            found, cuts = encode(batch.column("text"))
+            found, cuts = found.tobytes(), (4 * cuts).tolist()
+            for doc_id, a, b in zip(batch.column("doc_id").to_pylist(), cuts[:-1], cuts[1:], strict=True):
+                data = found[a:b] + end
+                for k, i in enumerate(range(0, len(data), wide)):
+                    part = data[i : i + wide]
+                    rows.append((doc_id, k, i // 4, len(part) // 4, zlib.crc32(part)) + ((np.frombuffer(part, "<u4").astype(np.int32).tolist(),) if ids else ()))
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()] + [pa.list_(pa.int32())] * ids
+            names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * ids
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     return docs.select("doc_id", "text").mapInArrow(run, PIECES + ", ids array<int>" * ids)
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize
+from .common import materialize, slices, trim
 
 SYMBOLS = b"#*$%&|<>"
 LEAST_WORDS = 50
@@ -126,7 +126,7 @@ def common_words(docs: DataFrame, n_words: int = COMMON_WORDS) -> dict[str, list
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, Counter] = defaultdict(Counter)
-        for b in batches:
+        for b in slices(batches):
             for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
                 found[lang].update(set(text.encode("utf-8", "surrogatepass").lower().split()))
             if sum(map(len, found.values())) > MOST_COUNTS:
@@ -168,15 +168,13 @@ class References(NamedTuple):
 
 def count_all(docs: DataFrame, common: dict[str, list[bytes]]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
-                langs, found = _counted(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), common)
-                cols = [batch.column("doc_id").cast(pa.int64()), pa.array(langs, pa.string())]
-                cols += [pa.array([getattr(c, k) for c in found], pa.int64()) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
-                cols += [pa.array([c.base_failed for c in found], pa.bool_())]
-                cols += [pa.array([getattr(c, k).tolist() for c in found], pa.list_(pa.int64())) for k in ("classes", "words")]
-                yield pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in COUNTED.split(", ")])
+        for batch in slices(batches):
+            langs, found = _counted(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), common)
+            cols = [batch.column("doc_id").cast(pa.int64()), pa.array(langs, pa.string())]
+            cols += [pa.array([getattr(c, k) for c in found], pa.int64()) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+            cols += [pa.array([c.base_failed for c in found], pa.bool_())]
+            cols += [pa.array([getattr(c, k).tolist() for c in found], pa.list_(pa.int64())) for k in ("classes", "words")]
+            yield pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in COUNTED.split(", ")])
 
     return docs.select("doc_id", "text", "lang").mapInArrow(run, COUNTED)
 
@@ -241,11 +239,12 @@ def keep(docs: DataFrame) -> DataFrame:
     def passes(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, given in batches:
             out: list[bool] = []
-            for at in range(0, len(texts), 1000):
-                langs, found = _counted(texts.slice(at, 1000).to_pylist(), given.slice(at, 1000).to_pylist(), common)
+            for at in range(0, len(texts), 500):
+                langs, found = _counted(texts.slice(at, 500).to_pylist(), given.slice(at, 500).to_pylist(), common)
                 by_class, by_word = distances(langs, [c.classes for c in found], [c.words for c in found], ref)
                 out += verdict(np.array([c.n_words for c in found]), np.array([int(c.classes.sum()) for c in found]), np.array([c.base_failed for c in found], bool), by_class, by_word).tolist()
             yield pa.array(out, pa.bool_())
+            trim()
 
     return docs.where(F.arrow_udf(passes, "boolean")(F.col("text"), F.col("lang")))
 
