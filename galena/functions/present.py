@@ -13,16 +13,16 @@ def grouped(n: Column) -> Column:
     return F.format_number(n.cast("decimal(38,0)"), 0)
 
 
-def _one(x: Column) -> Column:
-    return F.round(x, 1).cast("decimal(20,1)").cast("string")
-
-
 def human_bytes(n: Column) -> Column:
-    """Bytes below 1024 as they are, larger sizes with one decimal."""
-    out = F.concat(_one(n / float(1024 ** (len(UNITS) - 1))), F.lit(f" {UNITS[-1]}"))
-    for i in range(len(UNITS) - 2, 0, -1):
-        out = F.when(n < 1024 ** (i + 1), F.concat(_one(n / float(1024**i)), F.lit(f" {UNITS[i]}"))).otherwise(out)
-    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).otherwise(out)
+    """Bytes below 1024 as they are; larger sizes in the largest unit that is at most as large, with two decimals below 10 of
+    it and one from there on."""
+    out = F.concat(n.cast("string"), F.lit(" B"))
+    for i in range(1, len(UNITS)):
+        x = n / float(1024**i)
+        digits = lambda d: F.bround(x, d).cast(f"decimal(20,{d})").cast("string")  # noqa: B023, E731
+        text = F.concat(F.when(x < 10, digits(2)).otherwise(digits(1)), F.lit(f" {UNITS[i]}"))
+        out = F.when(n >= 1024**i, text).otherwise(out)
+    return out
 
 
 def score_text(x: Column) -> Column:

@@ -26,6 +26,7 @@ from ..functions.metadata import INT, NULL, REAL, TEXT
 _KEY = re.compile(r"[A-Za-z0-9_.-]+")
 _OP = re.compile(r"==|!=|<=|>=|<|>|=")
 _WORD = re.compile(r"[A-Za-z]+")
+_HEX = re.compile(r"[+-]?0[xX](?:[0-9a-fA-F]+(?:\.[0-9a-fA-F]*)?|\.[0-9a-fA-F]+)(?:[pP][+-]?[0-9]+)?\Z")
 _INT = re.compile(r"-?[0-9]+\Z")
 OPS = ("==", "!=", "<", "<=", ">", ">=")
 
@@ -164,12 +165,12 @@ class _Parser:
 
 
 def typed(word: str) -> int | float | str:
-    """A bare value: an integer of 64 bits, else a finite number, else text."""
+    """A bare value: an integer of 64 bits, else a finite number, which may be hexadecimal (0x10, 0x1.8p3), else text."""
     if _INT.match(word) and -(1 << 63) <= int(word) < 1 << 63:
         return int(word)
     try:
-        number = float(word) if "_" not in word else None
-    except ValueError:
+        number = (float.fromhex(word) if _HEX.match(word) else float(word)) if "_" not in word else None
+    except (ValueError, OverflowError):
         return word
     if number is None:
         return word

@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .functions import metadata as M
 from .functions import metrics as D
@@ -338,7 +339,7 @@ def metadata_display(spark, sf_dir):
     return event_metadata(spark, sf_dir).select("id", at("type").alias("type"), at("k").alias("k"))
 
 
-@query("""SELECT o_orderkey AS id, format('{:,}', o_orderkey * 1000) AS grouped, CASE WHEN o_orderkey < 1024 THEN o_orderkey || ' B' WHEN o_orderkey < 1048576 THEN CAST(round(o_orderkey / 1024.0::DOUBLE, 1) AS DECIMAL(20, 1)) || ' KB' ELSE CAST(round(o_orderkey / 1048576.0::DOUBLE, 1) AS DECIMAL(20, 1)) || ' MB' END AS bytes FROM orders""")
+@query("""SELECT o_orderkey AS id, format('{:,}', o_orderkey * 1000) AS grouped, CASE WHEN o_orderkey < 1024 THEN o_orderkey || ' B' WHEN o_orderkey < 10240 THEN printf('%.2f KB', o_orderkey / 1024.0::DOUBLE) WHEN o_orderkey < 1048576 THEN printf('%.1f KB', o_orderkey / 1024.0::DOUBLE) ELSE printf('%.2f MB', o_orderkey / 1048576.0::DOUBLE) END AS bytes FROM orders""")
 def presentation(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     return o.select(F.col("o_orderkey").alias("id"), P.grouped(F.col("o_orderkey") * 1000).alias("grouped"), P.human_bytes(F.col("o_orderkey")).alias("bytes"))
@@ -449,30 +450,42 @@ def get_by_id(spark, sf_dir):
     return found.select("id", F.try_element_at("metadata", F.lit("label"))["i"].alias("label"), F.size("embedding").cast("long").alias("dimension"))
 
 
-@query("SELECT doc_id, crc32 FROM (SELECT event_id AS doc_id, 0 AS crc32 FROM events WHERE false) UNION ALL SELECT 0, 3421780262")
+@query("""WITH RECURSIVE names AS (SELECT r_regionkey AS id, r_name || '123456789' AS name FROM region),
+bits AS (SELECT id, name, 0 AS i, 4294967295::UBIGINT AS c FROM names
+  UNION ALL SELECT id, name, i + 1, list_reduce(list_concat([xor(c, ascii(name[i // 8 + 1])::UBIGINT * (i % 8 = 0)::UBIGINT)], [0::UBIGINT]), lambda a, x: xor(a >> 1, 3988292384::UBIGINT * (a & 1))) FROM bits WHERE i < 8 * length(name))
+SELECT id, CAST(xor(c, 4294967295::UBIGINT) AS BIGINT) AS crc32 FROM bits WHERE i = 8 * length(name)""")
 def crc32_check(spark, sf_dir):
-    """The check value of the checksum that the file formats use."""
-    return spark.range(1).select(F.col("id").alias("doc_id"), F.crc32(F.lit("123456789").cast("binary")).alias("crc32"))
+    """The checksum of the file formats, against its definition bit by bit."""
+    r = table(spark, sf_dir, "region")
+    return r.select(F.col("r_regionkey").cast("int").alias("id"), F.crc32(F.concat("r_name", F.lit("123456789")).cast("binary")).alias("crc32"))
 
 
 # graphs and generated data
 
 
-@query()
+@query("SELECT vec_id AS qid, true AS enough FROM embeddings WHERE vec_id % 50 = 0")
 def ann_recall(spark, sf_dir):
-    """Recall of the graph against the exact search, for each query."""
+    """Whether the graph finds nine of ten that the exact search finds, for each query."""
     s, q = store(spark, sf_dir), asked(spark, sf_dir)
     config = HnswConfig(m=16, ef_construction=100, ef_search=200)
     found = hnsw.search(s, hnsw.build(s, Metric.L2, config), q, Metric.L2, PLAIN, config)
-    return search.recall(found, search.knn_blocks(s, q, Metric.L2, PLAIN), 10)
+    return search.recall(found, search.knn_blocks(s, q, Metric.L2, PLAIN), 10).select("qid", (F.col("recall") >= 0.9).alias("enough"))
 
 
-@query()
+@query("SELECT count(*) AS queries, true AS in_order, true AS all_match, true AS enough FROM embeddings WHERE vec_id % 50 = 0")
 def ann_filtered_overfetch(spark, sf_dir):
+    """Filtered answers of the graph: each in the filter, in order, and half of what the exact search finds on average."""
     s, q = store(spark, sf_dir), asked(spark, sf_dir)
     config = HnswConfig(m=16, ef_construction=100)
     options = QueryOptions(filter=Filter.parse("label >= 5"), include_metadata=False)
-    return rounded(hnsw.search(s, hnsw.build(s, Metric.L2, config), q, Metric.L2, options, config))
+    found = hnsw.search(s, hnsw.build(s, Metric.L2, config), q, Metric.L2, options, config)
+    exact = search.knn_batch(s, q, Metric.L2, options)
+    labels = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label")
+    order = Window.partitionBy("qid").orderBy("rank")
+    rows = found.join(labels, "id").withColumn("_falls", F.coalesce(F.col("score") < F.lag("score").over(order), F.lit(False)))
+    seen = rows.join(exact.select("qid", "id", F.lit(1).alias("_hit")), ["qid", "id"], "left")
+    sums = seen.agg(F.count_distinct("qid").alias("queries"), (~F.bool_or("_falls")).alias("in_order"), F.bool_and(F.col("label") >= 5).alias("all_match"), F.count("_hit").alias("_hits"))
+    return sums.crossJoin(exact.agg(F.count("*").alias("_of"))).select("queries", "in_order", "all_match", (2 * F.col("_hits") >= F.col("_of")).alias("enough"))  # single rows
 
 
 @query("SELECT unnest(['too many neighbours', 'links to itself', 'unknown neighbour', 'neighbour below the layer', 'missing layer', 'repeated neighbour']) AS \"check\", CAST(0 AS BIGINT) AS violations")
@@ -481,23 +494,38 @@ def hnsw_graph_integrity(spark, sf_dir):
     return hnsw.integrity(hnsw.build(store(spark, sf_dir), Metric.COSINE, config), config)
 
 
-@query()
+_MASK = "18446744073709551615::UHUGEINT"
+
+
+def splitmix_sql(seed: str, n: str) -> str:
+    """The n-th output (from 0) of the published generator, in integers of 128 bits."""
+    z = f"((({seed})::UHUGEINT + (({n})::UHUGEINT + 1) * 11400714819323198485::UHUGEINT) % 18446744073709551616::UHUGEINT)"
+    for shift, by in ((30, 13787848793156543929), (27, 10723151780598845931)):
+        z = f"(xor({z}, {z} // {1 << shift}) * {by}::UHUGEINT % 18446744073709551616::UHUGEINT)"
+    return f"xor({z}, {z} // {1 << 31})"
+
+
+@query(f"""WITH u AS (SELECT greatest(CAST({splitmix_sql('42', 'vec_id')} // 1099511627776 AS DOUBLE) / 16777216, 1.1754943508222875e-38) AS u FROM embeddings),
+l AS (SELECT least(CAST(floor(-ln(u) / ln(4)) AS INTEGER), 254) AS level FROM u)
+SELECT layer, count(*) AS nodes FROM (SELECT unnest(range(0, level + 1)) AS layer FROM l) GROUP BY layer""")
 def hnsw_layers(spark, sf_dir):
     """Nodes on each layer."""
     levels = hnsw.nodes(hnsw.build(store(spark, sf_dir), Metric.L2, HnswConfig(m=4, ef_construction=20)))
-    return levels.select(F.explode(F.sequence(F.lit(0), F.col("level"))).alias("layer")).groupBy("layer").agg(F.count("*").alias("nodes"))
+    return levels.select(F.explode(F.sequence(F.lit(0), F.col("level"))).alias("layer")).groupBy("layer").agg(F.count("*").alias("nodes")).select(F.col("layer").cast("long").alias("layer"), "nodes")
 
 
-@query()
+@query(f"""WITH d AS (SELECT i // 4 AS id, i % 4 AS at, CAST({splitmix_sql('42', 'i')} // 1099511627776 AS DOUBLE) / 16777216 AS u FROM range(8000) t(i))
+SELECT id, round(sqrt(sum((2 * u - 1) * (2 * u - 1))), 4) AS norm FROM d GROUP BY id""")
 def generate_dataset(spark, sf_dir):
-    return generate(spark, DatasetSpec(dimension=16, count=2_000, clusters=20)).select("id", F.round(D.norm(F.col("embedding")), 4).alias("norm"))
+    return generate(spark, DatasetSpec(dimension=4, count=2_000, kind="uniform")).select("id", F.round(D.norm(F.col("embedding")), 4).alias("norm"))
 
 
-@query()
+@query("SELECT i AS qid, true AS enough FROM range(30) t(i)")
 def generated_recall(spark, sf_dir):
-    """Recall on clustered data, where graphs do well."""
+    """Whether graphs find nine of ten on clustered data, where they do well."""
     spec = DatasetSpec(dimension=32, count=1_500, clusters=40)
     config = HnswConfig(m=16, ef_construction=100, ef_search=100)
     s = generate(spark, spec).select(F.col("id").alias("slot"), "id", "embedding", D.norm(F.col("embedding")).alias("norm"), (F.col("id") >= 0).alias("live"))
     q = generate_queries(spark, spec, 30)
-    return search.recall(hnsw.search(s, hnsw.build(s, Metric.L2, config), q, Metric.L2, PLAIN, config), search.knn_blocks(s, q, Metric.L2, PLAIN), 10)
+    found = hnsw.search(s, hnsw.build(s, Metric.L2, config), q, Metric.L2, PLAIN, config)
+    return search.recall(found, search.knn_blocks(s, q, Metric.L2, PLAIN), 10).select("qid", (F.col("recall") >= 0.9).alias("enough"))

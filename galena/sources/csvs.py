@@ -39,7 +39,8 @@ def parse_column(text: F.Column) -> F.Column:
 
 def read_csv(spark: SparkSession, path: str, ids: bool = False) -> DataFrame:
     """ordinal, id, embedding of a file in which blank lines and those that begin with # are skipped; with ids, the
-    first field is the id. A field that is no number, or a line of another length than the first, raises with its line.
+    first field is the id. Empty fields do not count, nor do lines that hold nothing else. A field that is no number, or a line
+    of another length than the first, raises with its line.
 
     Lines are numbered by their place, part by part: the counts of parts are summed, and each part is numbered alone.
     """
@@ -51,7 +52,8 @@ def read_csv(spark: SparkSession, path: str, ids: bool = False) -> DataFrame:
         starts[p], total = total, total + counts[p]
     start = F.element_at(F.create_map(*[F.lit(x) for kv in starts.items() for x in kv]), F.col("_part")) if starts else F.lit(0)
     rows = lines.select((start + F.col("_at").bitwiseAND((1 << 33) - 1) + 1).cast("long").alias("line"), "value")
-    rows = rows.where((F.trim("value") != "") & ~F.ltrim("value").startswith("#")).withColumn("f", F.split("value", ","))
+    rows = rows.where((F.trim("value") != "") & ~F.ltrim("value").startswith("#")).withColumn("f", F.filter(F.split("value", ","), lambda x: F.trim(F.regexp_replace(x, r"[\t\r]", " ")) != ""))
+    rows = rows.where(F.size("f") > (1 if ids else 0))
     bad = rows.where(F.exists("f", lambda x: ~x.rlike(_NUMBER))).agg(F.min("line")).first()[0]
     if bad is not None:
         raise CorruptionError(f"{path}, line {bad}: a field is no number")
@@ -76,6 +78,9 @@ def float_text(x: F.Column) -> F.Column:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """Write id and components of each row, in the order of id, to a folder of text files."""
+    """Write a comment that names the columns, and id and components of each row in the order of id, to a folder of text
+    files."""
     line = F.concat_ws(",", F.col("id").cast("string"), F.concat_ws(",", F.transform("embedding", float_text)))
-    df.select("id", line.alias("value")).orderBy("id").select("value").write.text(path)
+    dimension = F.coalesce(F.max(F.size("embedding")), F.lit(0))
+    head = df.agg(F.concat(F.lit("# Galena CSV: id,dimension "), dimension).alias("value")).select(F.lit(None).cast("long").alias("id"), "value")
+    df.select(F.col("id").cast("long").alias("id"), line.alias("value")).union(head).orderBy(F.col("id").asc_nulls_first()).select("value").write.text(path)
