@@ -36,8 +36,8 @@ KEEPS = (1.0, 0.98, 0.9, 0.75, 0.5, 0.25, 0.1)
 RANK_ROWS, RANK_GROUPS = 200, 1000
 #: Parts of texts that are encoded in one go, between marks: a control character that is a token of its own.
 TOGETHER, MARK = 2000, "\x01"
-#: Parts of texts, and parts of these, whose ids a Python worker keeps, in about 60 MB each.
-CACHE_WORDS = 250_000
+#: Parts of texts, and parts of these, whose ids a Python worker keeps, in about 70 MB each.
+CACHE_WORDS = 300_000
 PUNCTUATION = string.punctuation
 SPECIAL = "<|"  # special tokens begin so; they are found before capitals are dropped
 
@@ -97,10 +97,11 @@ class Encoder:
                 heads.append(head.lower() if head.isascii() else head)
                 tails.append(w[len(head) :])
             self.learn([*heads, *tails])
-            if len(self.whole) > CACHE_WORDS:
-                self.whole.clear()
+            keep = len(self.whole) < CACHE_WORDS  # what comes first is what comes often
             for i, head, tail in zip(new, heads, tails, strict=True):
-                parts[i] = self.whole[words[i]] = self.known[head] + self.known[tail] if tail else self.known[head]
+                parts[i] = self.known[head] + self.known[tail] if tail else self.known[head]
+                if keep:
+                    self.whole[words[i]] = parts[i]
         ids = np.frombuffer(b"".join(map(parts.__getitem__, index.tolist())), "<u4")
         n = (np.fromiter(map(len, parts), np.int64, len(parts)) // 4)[index]
         ends = np.concatenate([[0], np.cumsum(n)])
@@ -128,7 +129,7 @@ def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(shared.value)
-        for batch in slices(batches, 1000):
+        for batch in slices(batches, 2500):
             rows = []
             found, cuts = encode(batch.column("text"))
             found, cuts = found.tobytes(), (4 * cuts).tolist()
