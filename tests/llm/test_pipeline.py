@@ -2,6 +2,7 @@ import corpus_pipeline
 from galena.llm import langid, packing, quality
 from galena.llm.queries import ORACLES, QUERIES
 from tests.llm.test_neardup import brute as components
+from tests.llm.test_packing import check_packing
 
 
 def test_stages_against_brute_force(spark):
@@ -39,3 +40,16 @@ def test_all_ten_operators_are_registered():
     assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 11)] and set(ORACLES) <= set(QUERIES)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "quality", "near_duplicates", "mixing", "packing"]
     assert langid.UNDETERMINED == "und" and packing.CAPACITY == 4096
+
+
+def test_run_leaves_the_session_as_it_was(spark):
+    """run() packs what its stages keep, each piece once and without gaps, and restores what it sets."""
+    sf = "/root/testdata/sf0.001"
+    held = spark.conf.get(corpus_pipeline.BATCH)
+    rows = corpus_pipeline.run(spark, sf).collect()
+    assert spark.conf.get(corpus_pipeline.BATCH) == held
+    assert check_packing(rows) >= -(-sum(r["length"] for r in rows) // packing.CAPACITY)
+    assert {r["doc_id"] for r in rows} <= {r["doc_id"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    for name in ("op2_language_id", "op6_near_duplicates", "op10_html_extraction"):
+        QUERIES[name](spark, sf).collect()
+        assert spark.conf.get(corpus_pipeline.BATCH) == held
