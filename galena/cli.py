@@ -116,6 +116,7 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--csv", action="store_true")
     command("rebuild-index", "build the graph anew")
     command("compact", "drop tombstones")
+    command("vacuum", "delete tables of older snapshots").add_argument("--hours", type=float, default=24)
     command("check", "look for damage").add_argument("--deep", action="store_true")
     return out
 
@@ -166,7 +167,7 @@ def run(a: argparse.Namespace) -> tuple[int, object]:
     if a.command == "export":
         return 0, {"exported": c.export_file(a.output, a.csv), "output": a.output}
     if a.command == "info":
-        return 0, {"path": a.path, "size": c.size(), **c.config.plain()}
+        return 0, {"path": a.path, "size": c.size(), "describe": c.index.describe(), **c.config.plain()}
     if a.command == "stats":
         return 0, c.stats()
     if a.command == "rebuild-index":
@@ -174,6 +175,8 @@ def run(a: argparse.Namespace) -> tuple[int, object]:
         return 0, {"rebuilt": a.path}
     if a.command == "compact":
         return 0, {"reclaimed": c.compact()}
+    if a.command == "vacuum":
+        return 0, {"deleted": c.vacuum(a.hours)}
     issues = c.check(a.deep)
     return (3 if any(s == "error" for s, _ in issues) else 0), {"issues": [{"severity": s, "message": m} for s, m in issues]}
 

@@ -7,21 +7,23 @@ lock file.
 
 from __future__ import annotations
 
+import functools
 import json
+import time
 import uuid
 from collections.abc import Iterable, Iterator, Mapping, Sequence
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .errors import CorruptionError, InvalidArgumentError, IoError, NotFoundError
 from .functions import metadata as M
-from .functions.metrics import IndexKind
 from .operators import hnsw
 from .operators import search as knn
 from .operators import store as ops
+from .operators.index import INDEXES
 from .plans.filters import Filter
 from .plans.options import CollectionConfig, QueryOptions
 from .sources.csvs import read_csv, write_csv
@@ -35,7 +37,9 @@ class Collection:
     def __init__(self, spark: SparkSession, path: str, state: dict):
         self.spark, self.path, self._state = spark, path.rstrip("/"), state
         self.config = CollectionConfig.of(state["config"])
+        self.index = INDEXES[self.config.index](self.config)
         self._staging = False
+        self._written = dict(state.get("written", {}))
 
     # files, by Hadoop's file systems, so that any store that Spark reads will do
 
@@ -77,22 +81,28 @@ class Collection:
         if fs.exists(where):
             raise InvalidArgumentError(f"{path} exists already")
         fs.mkdirs(where)
-        out = cls(spark, path, {"format": FORMAT, "version": 0, "config": config.plain(), "next_id": 0, "next_slot": 0, "vectors": [], "metadata": [], "edges": [], "graph_of": None})
+        out = cls(spark, path, {"format": FORMAT, "version": 0, "config": config.plain(), "next_id": 0, "next_slot": 0, "vectors": [], "metadata": [], "edges": [], "edges_from": [], "graph_of": None, "graph_slots": 0, "written": {}})
         out._publish({})
         return out
 
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> Collection:
-        """Open the current snapshot; a graph that is missing or of other vectors is built anew."""
+        """Open the current snapshot; a graph that is missing or of other vectors is built anew, an older one is added to."""
         out = cls(spark, path, cls._read_state(spark, path))
-        if out.config.index is IndexKind.HNSW and out._state["vectors"] and not out._graph_fits():
-            out.rebuild_index()
+        if out.index.stored and out._state["vectors"] and not out._graph_fits():
+            out.flush()
         return out
 
+    def _graph_there(self) -> bool:
+        return bool(self._state["edges"]) and all(self._fs(self.spark, p)[0].exists(self._fs(self.spark, p)[1]) for p in self._state["edges"])
+
     def _graph_fits(self) -> bool:
-        if self._state["graph_of"] != self._state["vectors"]:
-            return False
-        return all(self._fs(self.spark, p)[0].exists(self._fs(self.spark, p)[1]) for p in self._state["edges"])
+        return self._state["graph_of"] == self._state["vectors"] and self._graph_there()
+
+    def _graph_grows(self) -> bool:
+        """Whether the graph is of the vectors of before some inserts, and of nothing else."""
+        of = self._state["graph_of"]
+        return bool(of) and self._state["vectors"][: len(of)] == of and self._state.get("graph_slots", 0) > 0 and self._graph_there()
 
     @contextmanager
     def transaction(self) -> Iterator[Collection]:
@@ -132,6 +142,7 @@ class Collection:
             self._state = {**self._state, **changed}
             return
         state = {**self._state, **changed, "version": self._state["version"] + 1}
+        state["written"] = {p: self._written[p] for p in (*state["vectors"], *state["metadata"], *state["edges"]) if p in self._written}
         part = f"{self.path}/.{uuid.uuid4().hex}.json"
         self._write_text(self.spark, part, json.dumps(state), True)
         jvm = self.spark._jvm
@@ -143,10 +154,41 @@ class Collection:
         self._state = state
 
     def _save(self, df: DataFrame, name: str) -> str:
+        """Write a new table; its rows are counted and hashed while they are written."""
         path = f"{self.path}/{name}-{uuid.uuid4().hex}"
-        df.write.parquet(path)
+        seen = Observation()
+        df.observe(seen, *self._digest(df)).write.parquet(path)
+        if "rows" in (found := seen.get):  # plans without any row may be cut off above what observes them
+            self._written[path] = [found["rows"], found["digest"]]
         return path
 
+    @staticmethod
+    def _digest(df: DataFrame) -> list[Column]:
+        """The number of rows and the sum of their hashes, which does not depend on their order."""
+        maps = {f.name for f in df.schema.fields if isinstance(f.dataType, T.MapType)}
+        cols = [F.array_sort(F.map_entries(c)) if c in maps else F.col(c) for c in sorted(df.columns)]
+        total = F.coalesce(F.sum(F.xxhash64(*cols).cast("decimal(20,0)")), F.lit(0))
+        return [F.count(F.lit(1)).alias("rows"), total.cast("string").alias("digest")]
+
+    def _damaged(self, deep: bool) -> list[str]:
+        """What tables do not hold the rows that were written: by their number, or by their hashes."""
+        out = []
+        for name, schema in (("vectors", ops.VECTORS), ("metadata", ops.METADATA), ("edges", hnsw.EDGES)):
+            for path in self._state[name]:
+                if path in self._written:
+                    df = self.spark.read.schema(schema).parquet(path)
+                    rows, digest = self._written[path]
+                    found = df.agg(*self._digest(df)).first() if deep else None
+                    if (found["rows"] if deep else df.count()) != rows:
+                        out.append(f"{path} does not hold the {rows} rows that were written")
+                    elif deep and found["digest"] != digest:
+                        out.append(f"{path} does not hold what was written: its checksum differs")
+        return out
+
+    def _bytes(self, name: str) -> int:
+        """The size of the files of a table."""
+        return sum(fs.getContentSummary(where).getLength() for fs, where in (self._fs(self.spark, p) for p in self._state[name]) if fs.exists(where))
+
     def _load(self, name: str, schema: T.StructType | str) -> DataFrame:
         paths = self._state[name]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
@@ -160,7 +202,14 @@ class Collection:
         return self._load("metadata", ops.METADATA)
 
     def edges(self) -> DataFrame:
-        return self._load("edges", hnsw.EDGES)
+        """Each table counts for the shards from its first one on, up to that of the next."""
+        paths = self._state["edges"]
+        if len(paths) < 2:
+            return self._load("edges", hnsw.EDGES)
+        first = self._state["edges_from"]
+        parts = [self.spark.read.schema(hnsw.EDGES).parquet(p).where(F.col("shard") >= a) for p, a in zip(paths, first, strict=True)]
+        parts = [part.where(F.col("shard") < b) for part, b in zip(parts, first[1:], strict=False)] + parts[-1:]
+        return functools.reduce(DataFrame.unionByName, parts)
 
     def _store(self, with_metadata: bool) -> DataFrame:
         if not with_metadata:
@@ -252,9 +301,17 @@ class Collection:
             self._rebuild()
 
     def _rebuild(self) -> None:
-        if self.config.index is IndexKind.HNSW and self._state["vectors"]:
-            edges = self._save(hnsw.build(self.vectors(), self.config.metric, self.config.hnsw), "edges")
-            self._publish({"edges": [edges], "graph_of": self._state["vectors"]})
+        if self.index.stored and self._state["vectors"]:
+            edges = self._save(self.index.build(self.vectors()), "edges")
+            self._publish({"edges": [edges], "edges_from": [0], "graph_of": self._state["vectors"], "graph_slots": self._state["next_slot"]})
+
+    def _extend(self) -> None:
+        """Add the slots of inserts to the graph; shards that got none are not read."""
+        built = self._state["graph_slots"]
+        first = built // self.index.shard_slots
+        edges = self._save(self.index.extend(self.vectors(), self.edges(), built), "edges")
+        held = [(p, a) for p, a in zip(self._state["edges"], self._state["edges_from"], strict=True) if a < first] + [(edges, first)]
+        self._publish({"edges": [p for p, _ in held], "edges_from": [a for _, a in held], "graph_of": self._state["vectors"], "graph_slots": self._state["next_slot"]})
 
     def compact(self) -> int:
         """Drop tombstones and orphaned metadata, number slots anew, rebuild the graph. Gives the slots reclaimed."""
@@ -271,14 +328,29 @@ class Collection:
     def flush(self) -> None:
         """Bring the graph up to date; vectors and metadata are durable as soon as a write returns."""
         with self._writer():
-            if self._state["graph_of"] != self._state["vectors"]:
-                self._rebuild()
+            if self._state["vectors"] and not self._graph_fits():
+                if self.index.stored and self._graph_grows():
+                    self._extend()
+                else:
+                    self._rebuild()
+
+    def vacuum(self, hours: float = 24) -> int:
+        """Delete tables that the current snapshot does not name and that are older than some hours, which leaves readers of
+        older snapshots that long. Gives their number."""
+        with self._writer():
+            fs, root = self._fs(self.spark, self.path)
+            used = {p.rsplit("/", 1)[-1] for name in ("vectors", "metadata", "edges") for p in self._state[name]}
+            old = [x.getPath() for x in fs.listStatus(root) if x.isDirectory() and x.getModificationTime() <= (time.time() - hours * 3600) * 1000]
+            gone = [p for p in old if p.getName() not in used and p.getName().partition("-")[0] in ("vectors", "metadata", "edges", "batch")]
+            for p in gone:
+                fs.delete(p, True)
+            return len(gone)
 
     # reads
 
     def search(self, query: Sequence[float], options: QueryOptions = QueryOptions()) -> DataFrame:
         q = knn.check_query(query, self.config.dimension)
-        if options.exact or self.config.index is IndexKind.BRUTE_FORCE:
+        if options.exact or not self.index.stored:
             return knn.knn(self._store(bool(options.filter) or options.include_metadata), q, self.config.metric, options)
         return self.batch_search(self.spark.createDataFrame([(0, q)], "qid long, query array<float>"), options).drop("qid")
 
@@ -288,12 +360,15 @@ class Collection:
         if bad:
             raise InvalidArgumentError(f"query {bad['qid']}: {bad['why']}")
         store = self._store(bool(options.filter) or options.include_metadata)
-        if options.exact or self.config.index is IndexKind.BRUTE_FORCE:
+        if options.exact:
             return knn.knn_blocks(store, queries, self.config.metric, options, self.config.dimension)
-        if not self._graph_fits():
-            self.rebuild_index()
+        if self.index.stored and self._state["vectors"] and not self._graph_fits():
+            try:
+                self.flush()
+            except IoError:  # another writer is at work: this snapshot is searched without the graph
+                return knn.knn_blocks(store, queries, self.config.metric, options, self.config.dimension)
             store = self._store(bool(options.filter) or options.include_metadata)
-        return hnsw.search(store, self.edges(), queries, self.config.metric, options, self.config.hnsw)
+        return self.index.search(store, self.edges(), queries, options)
 
     def get(self, id: int) -> tuple[list[float], dict[str, M.Value]] | None:
         row = ops.get(self.vectors(), self.metadata(), [id]).first()
@@ -314,7 +389,8 @@ class Collection:
     def stats(self) -> dict:
         out = ops.stats(self.vectors(), self.metadata()).first().asDict()
         keys = [r["key"] for r in ops.metadata_keys(self.metadata()).collect()]
-        return {**self.config.plain(), **out, "metadata_keys": keys, "dirty": self.config.index is IndexKind.HNSW and self._state["graph_of"] != self._state["vectors"]}
+        files = {f"{name}_file_bytes": self._bytes(name) for name in ("vectors", "metadata")} | {"index_bytes": self._bytes("edges")}
+        return {**self.config.plain(), **out, **files, "describe": self.index.describe(), "metadata_keys": keys, "dirty": self.index.stored and self._state["graph_of"] != self._state["vectors"]}
 
     def check(self, deep: bool = False) -> list[tuple[str, str]]:
         """(error or warning, message) for all that is wrong."""
@@ -322,15 +398,16 @@ class Collection:
         out = [("error", f"{p} is missing") for p in missing]
         if missing:
             return out
+        out += [("error", message) for message in self._damaged(deep)]
         out += [tuple(r) for r in ops.check(self.vectors(), self.metadata(), self.config.dimension, deep).collect()]
-        if self.config.index is IndexKind.HNSW:
+        if self.index.stored:
             if not self._state["edges"]:
                 out.append(("warning", "there is no graph; it is built on the next open"))
             else:
                 if self._state["graph_of"] != self._state["vectors"]:
                     out.append(("warning", "the graph is older than the vectors; flush brings it up to date"))
                 if deep:
-                    out += [("error", f"graph: {r['violations']} x {r['check']}") for r in hnsw.integrity(self.edges(), self.config.hnsw).where("violations > 0").collect()]
+                    out += [("error", f"graph: {r['violations']} x {r['check']}") for r in self.index.integrity(self.edges()).where("violations > 0").collect()]
         return out
 
     # files

@@ -8,6 +8,7 @@ neighbours).
 
 from __future__ import annotations
 
+import functools
 import heapq
 
 import numpy as np
@@ -15,10 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..errors import CorruptionError
 from ..functions.metrics import Metric
 from ..plans.options import HnswConfig, QueryOptions
 from ..sources.dataset import splitmix64
-from .search import _matching, attach, ranked
+from .search import BROADCAST_QUERY_BYTES, _matching, attach, ranked
 
 #: Slots of one shard: its vectors and graph fit into a worker, and building it is the longest task.
 SHARD_SLOTS = 20_000
@@ -168,14 +170,76 @@ def build(vectors: DataFrame, metric: Metric, config: HnswConfig = HnswConfig(),
         slots, matrix, t = _sorted(t)
         g = Graph(matrix, metric, config)
         g.build(draw_levels(slots, config))
-        shard = t.column("shard")[0].as_py()
-        out = [(shard, int(slots[r]), layer, slots[links].tolist() if links else []) for r, layers in enumerate(g.links) for layer, links in enumerate(layers)]
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()))
-        return pa.table([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["shard", "node", "layer", "neighbours"])
+        return _table(g, t.column("shard")[0].as_py(), slots)
 
     return rows.groupBy("shard").applyInArrow(run, EDGES)
 
 
+def _table(g: Graph, shard: int, slots: np.ndarray) -> pa.Table:
+    """The edges of a shard's graph as rows of EDGES."""
+    out = [(shard, int(slots[r]), layer, slots[links].tolist() if links else []) for r, layers in enumerate(g.links) for layer, links in enumerate(layers)]
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()))
+    return pa.table([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 4, kinds, strict=True)], ["shard", "node", "layer", "neighbours"])
+
+
+def restored(slots: np.ndarray, matrix: np.ndarray, edges: pa.Table, metric: Metric, config: HnswConfig) -> Graph:
+    """The graph of a shard from its edges, whose nodes are the first of its slots; raises CorruptionError if an edge leads
+    nowhere, to its own node or below its layer, stands twice, or if nodes or layers are missing or have too many links."""
+    g = Graph(matrix, metric, config)
+    row_of = {int(s): i for i, s in enumerate(slots)}
+    held = sorted(zip(edges.column("node").to_pylist(), edges.column("layer").to_pylist(), edges.column("neighbours").to_pylist(), strict=True))
+
+    def broken(node: int, layer: int, why: str) -> CorruptionError:
+        return CorruptionError(f"graph: node {node} on layer {layer} {why}")
+
+    for node, layer, links in held:
+        r = row_of.get(node)
+        if r is None:
+            raise broken(node, layer, "is no slot of its shard")
+        if layer != len(g.links[r]):
+            raise broken(node, layer, "has a layer missing or twice")
+        if len(links) > config.budget(layer):
+            raise broken(node, layer, f"has {len(links)} links")
+        if node in links or len(set(links)) < len(links):
+            raise broken(node, layer, "links to itself or twice to another")
+        if unknown := [x for x in links if x not in row_of]:
+            raise broken(node, layer, f"links to {unknown[0]}, which is no slot of its shard")
+        g.links[r].append([row_of[x] for x in links])
+        g.levels[r] = layer
+    n = next((r for r, layers in enumerate(g.links) if not layers), len(g.links))
+    if any(g.links[n:]):
+        raise broken(int(slots[n]), 0, "is missing")
+    for r, layers in enumerate(g.links):
+        for layer, links in enumerate(layers):
+            if any(len(g.links[x]) <= layer for x in links):
+                raise broken(int(slots[r]), layer, "links to a node that is not on this layer")
+    g.entry = int(g.levels[:n].argmax()) if n else -1
+    return g
+
+
+def extend(vectors: DataFrame, edges: DataFrame, built_slots: int, metric: Metric, config: HnswConfig = HnswConfig(), shard_slots: int = SHARD_SLOTS) -> DataFrame:
+    """The edges of the shards that hold slots from built_slots on, where edges are those of a graph over the slots before.
+
+    Only these shards are read: the last one that was begun gets its new slots added, later ones are built. As a graph is
+    built slot by slot, the edges equal those of build() over all vectors.
+    """
+    first = built_slots // shard_slots
+    rows = vectors.where(F.col("slot") >= first * shard_slots).select(F.floor(F.col("slot") / shard_slots).alias("shard"), "slot", "embedding")
+    old = edges.where(F.col("shard") >= first)
+
+    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        slots, matrix, left = _sorted(left)
+        g = restored(slots, matrix, right, metric, config)
+        levels = draw_levels(slots, config)
+        if [len(x) for x in g.links] != [int(n) + 1 if s < built_slots else 0 for s, n in zip(slots, levels, strict=True)]:
+            raise CorruptionError(f"graph: shard {key[0].as_py()} is not that of its slots below {built_slots}")
+        for row in range(int((slots < built_slots).sum()), len(slots)):
+            g.add(row, int(levels[row]))
+        return _table(g, key[0].as_py(), slots)
+
+    return rows.groupBy("shard").cogroup(old.groupBy("shard")).applyInArrow(run, EDGES)
+
+
 def nodes(edges: DataFrame) -> DataFrame:
     """shard, node, level."""
     return edges.groupBy("shard", "node").agg(F.max("layer").alias("level"))
@@ -190,12 +254,20 @@ def neighbours(edges: DataFrame, node: int, layer: int) -> DataFrame:
     return edges.where((F.col("node") == node) & (F.col("layer") == layer)).select(F.explode("neighbours").alias("neighbour"))
 
 
-def search(store: DataFrame, edges: DataFrame, queries: DataFrame, metric: Metric, options: QueryOptions = QueryOptions(), config: HnswConfig = HnswConfig(), shard_slots: int = SHARD_SLOTS) -> DataFrame:
+def search(store: DataFrame, edges: DataFrame, queries: DataFrame, metric: Metric, options: QueryOptions = QueryOptions(), config: HnswConfig = HnswConfig(), shard_slots: int = SHARD_SLOTS, parts: int | None = None) -> DataFrame:
     """Approximate neighbours of queries (qid, query): qid, rank, id, slot, score (and metadata).
 
     Each shard is walked with the same ef. Tombstones route but are dropped from answers, so there may be fewer than k. With
-    a filter, options.fetch neighbours are fetched and filtered then. Queries are gathered; callers keep their number small.
+    a filter, options.fetch neighbours are fetched and filtered then. Queries are gathered up to BROADCAST_QUERY_BYTES; more
+    are dealt by a hash into parts of that size, which are searched one after the other.
     """
+    if parts is None:
+        size = queries.agg(F.sum(F.size("query").cast("long") * 4)).first()[0] or 0
+        parts = -(-size * 2 // BROADCAST_QUERY_BYTES) if size > BROADCAST_QUERY_BYTES else 1
+    if parts > 1:
+        part = F.pmod(F.xxhash64("qid"), F.lit(parts))
+        found = [search(store, edges, queries.where(part == i), metric, options, config, shard_slots, 1) for i in range(parts)]
+        return functools.reduce(DataFrame.unionByName, found)
     fetch = options.fetch
     ef = max(fetch, options.ef_search or config.ef_search)
     table = queries.select("qid", "query").toArrow()
@@ -206,13 +278,7 @@ def search(store: DataFrame, edges: DataFrame, queries: DataFrame, metric: Metri
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         slots, base, left = _sorted(left)
         ids, alive = left.column("id").to_numpy(), left.column("live").to_numpy()
-        g = Graph(base, metric, config)
-        row_of = {int(s): i for i, s in enumerate(slots)}
-        for node, layer, links in sorted(zip(right.column("node").to_pylist(), right.column("layer").to_pylist(), right.column("neighbours").to_pylist(), strict=True)):
-            r = row_of[node]
-            g.links[r].append([row_of[x] for x in links])
-            g.levels[r] = layer
-        g.entry = int(g.levels.argmax()) if right.num_rows else -1
+        g = restored(slots, base, right, metric, config)
         out = [(qid, int(slots[r]), int(ids[r]), float(key)) for qid, q in zip(*shared.value, strict=True) for key, r in [x for x in g.search(q, ef) if alive[x[1]]][:fetch]]
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
         cols = list(zip(*out, strict=True)) if out else [[], [], [], []]

@@ -139,6 +139,86 @@ def test_indexed_collection(spark, tmp_path):
     assert Collection.open(spark, c.path).check(deep=True) == []
 
 
+def links(df):
+    return sorted((r["shard"], r["node"], r["layer"], tuple(r["neighbours"])) for r in df.collect())
+
+
+@pytest.fixture
+def graphed(spark, tmp_path):
+    """A collection with a graph over 150 slots, in shards of 100."""
+    c = Collection.create(spark, str(tmp_path / "g"), CollectionConfig(8, Metric.L2, IndexKind.HNSW, hnsw=HnswConfig(m=6, ef_construction=30)))
+    c.index.shard_slots = 100
+    rows = generate(spark, DatasetSpec(dimension=8, count=330, clusters=10)).cache()
+    c.insert(rows.where("id < 150"))
+    c.flush()
+    return c, rows
+
+
+def test_inserts_are_added_to_the_graph(graphed):
+    c, rows = graphed
+    before = c._state["edges"]
+    c.insert(rows.where("id >= 150 AND id < 160"))
+    c.insert(rows.where("id >= 160"))
+    c.flush()
+    assert c._state["edges"][0] == before[0] and c._state["edges_from"] == [0, 1] and c.check(deep=True) == []
+    whole = links(hnsw.build(c.vectors(), Metric.L2, c.config.hnsw, 100))
+    assert links(c.edges()) == whole and {s for s, *_ in whole} == {0, 1, 2, 3}
+    c.insert(c.batch([(None, [0.5] * 8, None)]))
+    q = c.get(200)[0]
+    assert ids(c.search(q, QueryOptions(k=5, ef_search=100))) == ids(c.search(q, QueryOptions(k=5, exact=True)))
+    assert c._state["edges_from"] == [0, 1, 3] and not c.stats()["dirty"]
+    c.upsert(c.batch([(3, [9.0] * 8, None)]))
+    assert ids(c.search([9.0] * 8, QueryOptions(k=1))) == [3] and c._state["edges_from"] == [0]
+
+
+def test_search_while_another_writes(spark, graphed):
+    c, rows = graphed
+    other = Collection(spark, c.path, c._read_state(spark, c.path))
+    c.insert(rows.where("id >= 150"))
+    late = Collection(spark, c.path, c._read_state(spark, c.path))
+    with other._writer():
+        assert ids(late.search(late.get(300)[0], QueryOptions(k=3))) == ids(late.search(late.get(300)[0], QueryOptions(k=3, exact=True)))
+
+
+@pytest.mark.parametrize(("change", "why"), [("slice(neighbours, 1, 0)", None), ("array(node)", "to itself"), ("array(9999L)", "no slot"), ("transform(sequence(1, 50), x -> cast(x AS long))", "links")])
+def test_damaged_graphs_are_refused(graphed, change, why):
+    c, _ = graphed
+    path = f"{c.path}/edges-damaged"
+    c.edges().selectExpr("shard", "node", "layer", f"CASE WHEN node = 60 AND layer = 0 THEN {change} ELSE neighbours END AS neighbours").write.parquet(path)
+    fs, old = c._fs(c.spark, c._state["edges"][0])
+    fs.delete(old, True)
+    fs.rename(c._fs(c.spark, path)[1], old)
+    assert any("checksum" in m for _, m in c.check(deep=True))
+    if why:
+        with pytest.raises(Exception, match=why):
+            c.search([0.0] * 8, QueryOptions(k=3)).collect()
+
+
+def test_checksums_sizes_and_vacuum(spark, papers):
+    c = papers
+    assert c.stats()["vectors_file_bytes"] > 0 and c.stats()["index_bytes"] == 0 and c.stats()["describe"].startswith("brute_force")
+    c.remove([7, 8, 9, 10])
+    assert c.check(deep=True) == [] and c.size() == 0
+    used = {*c._state["vectors"], *c._state["metadata"]}
+    assert c.vacuum() == 0 and c.vacuum(0) > 0 and c.vacuum(0) == 0
+    c.insert(c.batch([(70, [1, 2, 3], {"a": 1, "b": "x"}), (71, [1, 2, 4], None)]))
+    assert c.check(deep=True) == [] and c.size() == 2 and used <= {*c._state["vectors"], *c._state["metadata"]}
+    table = c._state["vectors"][-1]
+    spark.read.parquet(table).where("id = 70").write.parquet(table + "-x")
+    fs, old = c._fs(spark, table)
+    fs.delete(old, True)
+    fs.rename(c._fs(spark, table + "-x")[1], old)
+    assert any("rows that were written" in m for _, m in c.check())
+
+
+def test_graph_search_by_parts_of_queries(clustered):
+    s, q = clustered
+    config = HnswConfig(m=8, ef_construction=40)
+    edges = hnsw.build(s, Metric.L2, config, shard_slots=500).cache()
+    a, b = (sorted(map(tuple, hnsw.search(s, edges, q, Metric.L2, QueryOptions(include_metadata=False), config, 500, parts).collect())) for parts in (None, 3))
+    assert a == b and len(a) == 200
+
+
 def test_stream(spark, tmp_path):
     c = Collection.create(spark, str(tmp_path / "s"), CollectionConfig(2))
     rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "id long, embedding array<float>")
