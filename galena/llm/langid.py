@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
+import ahocorasick
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -51,29 +52,36 @@ def vocabulary(path: str = VOCABULARY) -> dict[str, int]:
     return {p: i for i, p in enumerate(usable, 1)}
 
 
-def lattice(words: Sequence[str], pieces: dict[str, int], longest: int) -> Lattice:
-    """words begin with ▁ or, if they carry on a cut run, with a letter."""
-    word, start, end, piece = [], [], [], []
-    for w, text in enumerate(words):
-        n = len(text)
-        for i in range(n):
-            single = False
-            for j in range(i + 1, min(n, i + longest) + 1):
-                p = pieces.get(text[i:j])
-                if p is not None:
-                    word.append(w)
-                    start.append(i)
-                    end.append(j)
-                    piece.append(p)
-                    single |= j == i + 1
-            if not single:
-                word.append(w)
-                start.append(i)
-                end.append(i + 1)
-                piece.append(0)
-    word, start, end, piece = (np.array(x, np.int32) for x in (word, start, end, piece))
-    order = np.argsort(end, kind="stable")
-    return Lattice(len(words), np.array([len(t) for t in words], np.int32), word[order], start[order], end[order], piece[order])
+def automaton(pieces: dict[str, int]) -> ahocorasick.Automaton:
+    """Finds all pieces in a text, with the number and the length of each."""
+    out = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+    for p, i in pieces.items():
+        out.add_word(p, i << 8 | len(p))
+    out.make_automaton()
+    return out
+
+
+def lattice(words: Sequence[str], pieces: dict[str, int], longest: int, found: ahocorasick.Automaton | None = None) -> Lattice:
+    """The pieces of up to longest letters in words; found is their automaton, if it is built already.
+
+    words begin with ▁ or, if they carry on a cut run, with a letter. They are searched as one text, with line feeds
+    between them, which no piece has; a letter that is no piece is an edge of its own."""
+    found = found or automaton({p: i for p, i in pieces.items() if len(p) <= longest})
+    length = np.array([len(t) for t in words], np.int32)
+    first = np.concatenate([[0], np.cumsum(length + 1)])  # where words begin
+    hits = np.fromiter(found.iter("\n".join(words)), np.dtype("i8,i8")) if words else np.empty(0, np.dtype("i8,i8"))
+    at, piece, size = hits["f0"] + 1, hits["f1"] >> 8, hits["f1"] & 255  # in the order of their ends, the longest first
+    letter = np.ones(first[-1], bool)
+    letter[first[1:] - 1] = False
+    letter[at[size == 1] - 1] = False
+    lone = np.flatnonzero(letter) + 1
+    place = np.searchsorted(at, lone, "right")
+    at, piece, size = np.insert(at, place, lone), np.insert(piece, place, 0), np.insert(size, place, 1)
+    word = np.searchsorted(first, at, "left") - 1
+    end = at - first[word]
+    order = np.argsort(end.astype(np.int16), kind="stable")
+    word, start, end, piece = (x[order].astype(np.int32) for x in (word, end - size, end, piece))
+    return Lattice(len(words), length, word, start, end, piece)
 
 
 def forward(lat: Lattice, prob: np.ndarray) -> np.ndarray:
@@ -116,12 +124,12 @@ class Model(NamedTuple):
     pieces: dict[str, int]
     prob: np.ndarray
 
-    def score(self, words: Sequence[str]) -> np.ndarray:
+    def score(self, words: Sequence[str], found: ahocorasick.Automaton | None = None) -> np.ndarray:
         """The log-probability of each word in each language."""
         out = np.empty((len(words), len(self.langs)))
-        longest = max(map(len, self.pieces))
+        found, longest = found or automaton(self.pieces), max(map(len, self.pieces))
         for at in range(0, len(words), BLOCK_WORDS):
-            lat = lattice(words[at : at + BLOCK_WORDS], self.pieces, longest)
+            lat = lattice(words[at : at + BLOCK_WORDS], self.pieces, longest, found)
             for k in range(len(self.langs)):
                 out[at : at + lat.n, k] = np.log(forward(lat, self.prob[:, k])[lat.length, np.arange(lat.n)])
         return out
@@ -130,11 +138,11 @@ class Model(NamedTuple):
 def learn(counts: dict[str, dict[str, int]], path: str = VOCABULARY, rounds: int = EM_ROUNDS) -> Model:
     """Piece probabilities for each language by expectation-maximisation over the counts of its words."""
     pieces, langs = vocabulary(path), sorted(counts)
-    longest = max(map(len, pieces))
+    found, longest = automaton(pieces), max(map(len, pieces))
     prob = np.empty((len(pieces) + 1, len(langs)))
     for k, lang in enumerate(langs):
         words = sorted(counts[lang])
-        lat, n = lattice(words, pieces, longest), np.array([counts[lang][w] for w in words], float)
+        lat, n = lattice(words, pieces, longest, found), np.array([counts[lang][w] for w in words], float)
         p = np.full(len(pieces) + 1, 1.0 / len(pieces))
         for _ in range(rounds):
             alpha, beta = forward(lat, p), backward(lat, p)
@@ -180,7 +188,8 @@ class Scorer:
     """Scores texts, keeping the scores of the words it has met."""
 
     def __init__(self, model: Model):
-        self.model, self.at, self.rows = model, {}, np.empty((0, len(model.langs)))
+        self.model, self.found = model, automaton(model.pieces)
+        self.at, self.rows = {}, np.empty((0, len(model.langs)))
 
     def __call__(self, texts: Sequence[str | None]) -> tuple[list[str], list[float]]:
         langs, scores = [], []
@@ -191,7 +200,7 @@ class Scorer:
             new = list(set().union(*found))
         if new:
             self.at.update(zip(new, range(len(self.at), len(self.at) + len(new)), strict=True))
-            self.rows = np.concatenate([self.rows, self.model.score(new)])
+            self.rows = np.concatenate([self.rows, self.model.score(new, self.found)])
         for words in found:
             if not words:
                 langs.append(UNDETERMINED)

@@ -64,3 +64,12 @@ def test_held_out_matches_the_checksum(spark):
 @pytest.mark.parametrize("n", [39, 40, 41, 95])
 def test_long_runs_are_cut_whole(n):
     assert "".join(langid.letters("a" * n)).replace("▁", "") == "a" * n
+
+
+def test_lattice_against_all_substrings():
+    pieces = {p: i for i, p in enumerate(["▁", "▁a", "a", "ab", "b", "abc", "é", "𝒜b", "cab", "▁漢", "字"], 1)}
+    words = ["▁abcab", "▁", "ab", "▁漢字𝒜b", "▁xyz", "▁é" + "ab" * 19, "cabcab"] * 3
+    want = [(j, w, i, pieces.get(t[i:j], 0)) for w, t in enumerate(words) for j in range(1, len(t) + 1) for i in range(j) if t[i:j] in pieces or i == j - 1]
+    lat = langid.lattice(words, pieces, 16)
+    assert sorted(want) == list(zip(*(x.tolist() for x in (lat.end, lat.word, lat.start, lat.piece)), strict=True))
+    assert langid.lattice([], pieces, 16).n == 0 and lat.length.tolist() == [len(t) for t in words]
