@@ -26,7 +26,7 @@ SMOOTHING, UNKNOWN = 0.05, 1e-6
 #: Runs of more letters are cut: no language writes longer words, and products of probabilities stay above zero.
 WORD_LETTERS = 40
 #: Words whose scores a task keeps at once, and words scored at once.
-CACHE_WORDS, BLOCK_WORDS = 300_000, 10_000
+CACHE_WORDS, BLOCK_WORDS = 300_000, 2_000
 UNDETERMINED = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
 
