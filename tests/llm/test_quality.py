@@ -81,3 +81,32 @@ def test_common_words_are_counted_over_all_documents(spark, monkeypatch):
     assert quality.common_words(docs) == want
     monkeypatch.setattr(quality, "MOST_COUNTS", 50)
     assert quality.common_words(docs) == want
+
+
+def test_clean_and_bilingual_texts_of_the_other_half_stay(spark):
+    """The thresholds were chosen on documents with an even crc32(doc_id); these have an odd one."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    other = docs.join(labels.select("doc_id", "quality"), "doc_id").where("crc32(cast(doc_id AS string)) % 2 = 1")
+    by = {r["doc_id"]: r for r in quality.judge(docs).collect()}
+    rows = [r for r in other.collect() if not by[r["doc_id"]]["base_failed"]]
+    clean = [r for r in rows if r["quality"] == 1]
+    bad = [r for r in rows if r["quality"] == 0]
+    assert len(clean) > 1500 and all(by[r["doc_id"]]["kept"] for r in clean)
+    assert sum(not by[r["doc_id"]]["kept"] for r in bad if r["n_chars"] > 1500) > 0.9 * sum(r["n_chars"] > 1500 for r in bad)
+
+    common = quality.common_words(docs)
+    ref = quality.references(quality.count_all(docs, common), common)
+    rng = random.Random(1)
+    langs, found = [], []
+    for _ in range(600):
+        a, b = rng.choice(clean), rng.choice(clean)
+        n, share = rng.randint(60, 800), rng.uniform(0.5, 0.75)
+        if a["lang"] and b["lang"] and a["lang"] != b["lang"]:
+            text = " ".join(a["text"].split(" ")[: int(n * share)] + b["text"].split(" ")[-int(n * (1 - share)) :])
+            langs.append(a["lang"])
+            found.append(quality.measure(text, common[a["lang"]]))
+    far = quality.distances(langs, [c.classes for c in found], [c.words for c in found], ref)
+    failed = np.array([c.base_failed for c in found])
+    kept = quality.verdict(np.array([c.n_words for c in found]), np.array([c.classes.sum() for c in found]), failed, *far)
+    assert len(found) > 300 and (kept | failed).all()
