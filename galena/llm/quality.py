@@ -253,3 +253,45 @@ def keep(docs: DataFrame) -> DataFrame:
 
 def query(docs: DataFrame) -> DataFrame:
     return judge(docs).drop("char_distance", "word_distance")
+
+
+#: Counts, common words, references and distances of all documents, in SQL of their own.
+SQL = r"""
+WITH texts AS (SELECT row_number() OVER () AS k, doc_id, lang, coalesce(text, '') AS text,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low, text IS NOT NULL AS given FROM documents),
+words AS (SELECT k, doc_id, lang, text, given, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, regexp_extract_all(low, '[^\x20\x09-\x0D]+') AS v FROM texts),
+places AS (SELECT k, unnest(range(1, len(w) - 1)) AS i, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS run FROM words WHERE len(w) >= 3),
+windows AS (SELECT k, i, count(*) OVER (PARTITION BY k, run) AS n FROM places),
+again AS (SELECT k, count(DISTINCT j) AS n FROM (SELECT k, unnest([i, i + 1, i + 2]) AS j FROM windows WHERE n > 1) GROUP BY k),
+lines AS (SELECT k, unnest(string_split(text, chr(10))) AS line FROM words),
+doubled AS (SELECT k, count(*) - count(DISTINCT line) AS n FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY k),
+counts AS (SELECT x.k, doc_id, lang, text, w, v, len(w) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(d.n, 0) AS n_dup_lines, coalesce(a.n, 0) AS n_repeat_words,
+    len(w) < 50 OR 100 * coalesce(a.n, 0) > 50 * len(w) AS base_failed
+    FROM words x LEFT JOIN again a ON a.k = x.k LEFT JOIN doubled d ON d.k = x.k),
+held AS (SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(list_distinct(v)) AS word FROM words WHERE given AND lang IS NOT NULL) GROUP BY lang, word),
+common AS (SELECT lang, word, upper(word[1]) || word[2:] AS capital, upper(word) AS upper, regexp_full_match(word, '[\x00-\x7F]*') AS plain FROM held
+    QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) <= 40),
+each AS (SELECT k, word, lower, count(*) AS n FROM (SELECT k, unnest(w) AS word, unnest(v) AS lower FROM counts) GROUP BY k, word, lower),
+guess AS (SELECT k, common.lang, sum(n) AS n FROM each JOIN common ON common.word = each.lower WHERE k IN (SELECT k FROM counts WHERE lang IS NULL OR lang NOT IN (SELECT lang FROM common)) GROUP BY k, common.lang
+    QUALIFY row_number() OVER (PARTITION BY k ORDER BY sum(n) DESC, common.lang) = 1),
+judged AS (SELECT c.k, c.doc_id, c.text, n_words, base_failed, CASE WHEN c.lang IN (SELECT lang FROM common) THEN c.lang ELSE coalesce(g.lang, (SELECT min(lang) FROM common)) END AS lang FROM counts c LEFT JOIN guess g ON g.k = c.k),
+chars AS (SELECT k, lang, base_failed, unnest(['a', 'A', '0', ' ', 'n', '.', '!', '#', 'c', 'u', 'o']) AS class, unnest([
+    length(regexp_replace(text, '[^a-z]', '', 'g')), length(regexp_replace(text, '[^A-Z]', '', 'g')), length(regexp_replace(text, '[^0-9]', '', 'g')),
+    length(regexp_replace(text, '[^\x20\x09\x0B-\x0D]', '', 'g')), length(regexp_replace(text, '[^\n]', '', 'g')), length(regexp_replace(text, '[^.,]', '', 'g')),
+    length(regexp_replace(text, '[^!?;:''"()-]', '', 'g')), length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')),
+    length(regexp_replace(text, '[^\x00-\x08\x0E-\x1F\x7F]', '', 'g')), length(regexp_replace(text, '[\x00-\x7F]', '', 'g')),
+    length(regexp_replace(text, '[^+/=@\[\\\]^_`{}~]', '', 'g'))]) AS n FROM judged),
+found AS (SELECT j.k, c.word, sum(e.n) AS n FROM judged j JOIN common c ON c.lang = j.lang JOIN each e ON e.k = j.k AND (e.word = c.word OR c.plain AND (e.word = c.capital OR e.word = c.upper)) GROUP BY j.k, c.word),
+slots AS (SELECT k, lang, n_words, base_failed, word AS class, coalesce(f.n, 0) AS n FROM (SELECT j.k, j.lang, j.n_words, j.base_failed, c.word FROM judged j JOIN common c ON c.lang = j.lang) LEFT JOIN found f USING (k, word)),
+wordsof AS (SELECT k, lang, base_failed, class, n FROM slots UNION ALL SELECT k, lang, any_value(base_failed), NULL, any_value(n_words) - sum(n) FROM slots GROUP BY k, lang),
+hist AS (SELECT *, 'chars' AS kind FROM chars UNION ALL SELECT *, 'words' FROM wordsof),
+refs AS (SELECT kind, lang, class, sum(n) AS n FROM hist WHERE NOT base_failed GROUP BY kind, lang, class),
+shares AS (SELECT h.k, h.kind, h.n / greatest(sum(h.n) OVER (PARTITION BY h.k, h.kind), 1) AS p, r.n / sum(r.n) OVER (PARTITION BY h.k, h.kind) AS q, h.n
+    FROM hist h JOIN refs r ON r.kind = h.kind AND r.lang = h.lang AND r.class IS NOT DISTINCT FROM h.class),
+far AS (SELECT k, kind, sum(n) AS n, CASE WHEN sum(n) > 0 THEN sqrt(greatest(sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2, 0)) ELSE 0 END AS d
+    FROM shares GROUP BY k, kind)
+SELECT c.doc_id, c.n_words, c.word_chars, c.n_symbols, c.n_dup_lines, c.n_repeat_words, c.base_failed,
+    NOT (c.base_failed OR coalesce(a.n >= 200 AND a.d > 0.32, false) OR coalesce(c.n_words >= 50 AND b.d > 0.31 + 0.75 / sqrt(c.n_words), false)) AS kept
+FROM counts c LEFT JOIN far a ON a.k = c.k AND a.kind = 'chars' LEFT JOIN far b ON b.k = c.k AND b.kind = 'words'
+"""

@@ -51,4 +51,4 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op2_language_id, op3_mixing, op4_packing, op5_quality_rules, op6_near_duplicates, op7_url_filters, op8_exact_top_k, op9_license_scan, op10_html_extraction)}
-ORACLES: dict[str, str] = {"op1_warc": warc.SQL, "op3_mixing": mixing.SQL, "op7_url_filters": urlfilter.SQL, "op8_exact_top_k": topk.SQL}
+ORACLES: dict[str, str] = {"op1_warc": warc.SQL, "op3_mixing": mixing.SQL, "op5_quality_rules": quality.SQL, "op7_url_filters": urlfilter.SQL, "op8_exact_top_k": topk.SQL}

@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter
 
+import duckdb
 import numpy as np
 from hypothesis import given
 from hypothesis import strategies as st
@@ -110,3 +111,18 @@ def test_clean_and_bilingual_texts_of_the_other_half_stay(spark):
     failed = np.array([c.base_failed for c in found])
     kept = quality.verdict(np.array([c.n_words for c in found]), np.array([c.classes.sum() for c in found]), failed, *far)
     assert len(found) > 300 and (kept | failed).all()
+
+
+def test_query_equals_sql(spark, make_docs):
+    """On odd rows beside those of a table: nulls, repeated rows, unknown languages, other letters, symbols, a long text."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    text = docs.where("lang = 'en' AND length(text) BETWEEN 800 AND 2000").first()["text"]
+    odd = [(9001, None), (9002, ""), (None, text, None), (9003, text, "xx"), (9003, text, "xx"), (9004, text.upper(), None), (9005, "#$ [x] \t\n" * 90)]
+    odd += [(9006, "\x85\x1c\u00e9\u6f22\r\n \x0b" * 80, "de"), (9007, text * 30, "en"), (9008, "Der Und die \u00fcber \x7f\x00 ~{}" * 40, None)]
+    for rows in (docs.select("doc_id", "text", "lang").unionByName(make_docs(odd).select("doc_id", "text", "lang")), make_docs(odd).select("doc_id", "text", "lang"), docs.select("doc_id", "text", "lang").where("false")):
+        con = duckdb.connect()
+        con.register("documents", rows.toArrow())
+        got = quality.query(rows)
+        want = con.execute(quality.SQL).to_arrow_table().select(got.columns).to_pylist()
+        key = lambda r: tuple(map(str, r.values()))
+        assert sorted(map(key, want)) == sorted(key(r.asDict()) for r in got.collect())
