@@ -6,7 +6,9 @@ metadata, the result is that of ranking all and filtering then.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +26,10 @@ BROADCAST_QUERY_BYTES = 64 << 20
 PRODUCTS = 8_000_000
 #: Rows of the store that are multiplied at once.
 BLOCK_ROWS = 8192
+#: The largest k of one query that each task keeps on its own and one task ranks; Spark reserves 2 k places in every task.
+TOP_ROWS = 100_000
+#: Above, keys are ranked by ranges of about so many rows, of at most so many ranges, from a sample of up to twice so many keys.
+RANKED_ROWS, MOST_RANGES, RANGE_SAMPLE = 20_000, 256, 10_000
 
 
 def check_query(vector: Sequence[float], dimension: int) -> list[float]:
@@ -65,15 +71,49 @@ def merge_top_k(parts: Sequence[DataFrame], k: int) -> DataFrame:
 
 
 def knn(store: DataFrame, query: Sequence[float], metric: Metric, options: QueryOptions = QueryOptions()) -> DataFrame:
-    """The nearest neighbours of one query: rank, id, score (and metadata if asked for). One pass and a top-k."""
+    """The nearest neighbours of one query: rank, id, score (and metadata if asked for). One pass and a top-k; above TOP_ROWS
+    neighbours, a ranking by ranges."""
     q = literal(query)
     key = rank_key(metric, q, F.col("embedding"), F.lit(float(np.sqrt(sum(float(x) * float(x) for x in query)))), F.col("norm") if "norm" in store.columns else None)
     keep = ["metadata"] if options.include_metadata and "metadata" in store.columns else []
-    top = _matching(store, options).select("slot", "id", key.alias("rank_key"), *keep).orderBy("rank_key", "slot").limit(options.k)
+    keys = _matching(store, options).select("slot", "id", key.alias("rank_key"), *keep)
+    if options.k > TOP_ROWS:
+        return ranked_by_ranges(keys, options.k).select("rank", "id", "slot", score(metric, F.col("rank_key")).alias("score"), *keep)
+    top = keys.orderBy("rank_key", "slot").limit(options.k)
     rank = F.row_number().over(Window.orderBy("rank_key", "slot"))  # over k rows
     return top.select(rank.alias("rank"), "id", "slot", score(metric, F.col("rank_key")).alias("score"), *keep)
 
 
+def _range_of(bounds: Sequence[tuple[float, int]], first: int = 0) -> Column:
+    """How many of the rising bounds a row's (rank_key, slot) is not below, by bisection; 0 without a key, as nulls come first."""
+    if not bounds:
+        return F.lit(first)
+    i = len(bounds) // 2
+    key, slot = bounds[i]
+    below = F.col("rank_key").isNull() | (F.col("rank_key") < key) | ((F.col("rank_key") == key) & (F.col("slot") < slot))
+    return F.when(below, _range_of(bounds[:i], first)).otherwise(_range_of(bounds[i + 1 :], first + i + 1))
+
+
+def ranked_by_ranges(keys: DataFrame, k: int) -> DataFrame:
+    """The k best of all rows by (rank_key, slot) in the order of their ranks, for any k: no task holds more than a range.
+
+    Bounds of ranges come from a sample of the keys, which decides about the size of ranges alone. All rows are counted by
+    range, and each range is ranked on its own from the sum of those before; ranges from the k-th row on are left out.
+    """
+    n = keys.count()
+    some = keys.where(F.pmod(F.xxhash64("slot"), F.lit(max(1, n // RANGE_SAMPLE))) == 0).where("rank_key IS NOT NULL")
+    sample = [(r["rank_key"], r["slot"]) for r in some.select("rank_key", "slot").collect()]
+    sample.sort(key=lambda x: (math.isnan(x[0]), 0 if math.isnan(x[0]) else x[0], x[1]))  # as Spark sorts
+    parts = min(-(-n // RANKED_ROWS), MOST_RANGES, len(sample))
+    rows = keys.withColumn("_range", _range_of([sample[i * len(sample) // parts] for i in range(1, parts)]))
+    counts = dict(rows.groupBy("_range").count().collect())
+    before = list(accumulate((counts.get(i, 0) for i in range(max(1, parts))), initial=0))
+    needed = sum(n < k for n in before[:-1])
+    rank = F.row_number().over(Window.partitionBy("_range").orderBy("rank_key", "slot")) + F.get(F.lit(before).cast("array<long>"), F.col("_range"))
+    out = rows.where(F.col("_range") < needed).withColumn("rank", rank).where(F.col("rank") <= k)
+    return out.withColumn("rank", F.col("rank").cast("int")).drop("_range").orderBy("rank")
+
+
 def knn_batch(store: DataFrame, queries: DataFrame, metric: Metric, options: QueryOptions = QueryOptions(), where: Column | None = None) -> DataFrame:
     """The nearest neighbours of each query (qid, query): qid, rank, id, slot, score (and metadata).
 

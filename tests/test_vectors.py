@@ -30,6 +30,23 @@ def test_plane(spark):
     assert search.knn(store(spark, PLANE), [0.1, 0.0], Metric.L2, QueryOptions(k=100, include_metadata=False)).count() == 5
 
 
+def test_more_neighbours_than_a_task_holds(spark, monkeypatch):
+    """Spark reserves places for k rows in each task, so a k of a billion takes another way; its ranks are the same."""
+    monkeypatch.setattr(search, "RANKED_ROWS", 100)
+    rng = np.random.default_rng(5)
+    s = store(spark, [(i, v) for i, v in enumerate(rng.integers(-2, 3, (1_000, 3)).astype(float).tolist())])  # many exact ties
+    plain = s.select("slot", (D.dot(D.literal([1.0, 0.5, -1.0]), F.col("embedding"))).alias("key")).collect()
+    want = [r["slot"] for r in sorted(plain, key=lambda r: (-r["key"], r["slot"]))]
+    for k, n in ((1_000_000_000, 1_000), (search.TOP_ROWS + 1, 1_000)):
+        got = search.knn(s, [1.0, 0.5, -1.0], Metric.DOT, QueryOptions(k=k, include_metadata=False))
+        assert "TakeOrdered" not in got._jdf.queryExecution().executedPlan().toString()
+        assert [(r["rank"], r["id"]) for r in got.collect()] == list(enumerate(want[:n], 1)) and got.schema["rank"].dataType.typeName() == "integer"
+    monkeypatch.setattr(search, "TOP_ROWS", 10)
+    for k in (11, 350, 999):
+        assert [r["id"] for r in search.knn(s, [1.0, 0.5, -1.0], Metric.DOT, QueryOptions(k=k, include_metadata=False)).collect()] == want[:k]
+    assert search.knn(s.where("slot < 0"), [1.0, 0.5, -1.0], Metric.DOT, QueryOptions(k=11, include_metadata=False)).collect() == []
+
+
 def test_zero_vectors_are_near_to_nothing(spark):
     got = search.knn(store(spark, PLANE), [2.0, 0.0], Metric.COSINE, QueryOptions(k=5, include_metadata=False)).collect()
     assert [(r["id"], round(r["score"], 9)) for r in got] == [(1, 1.0), (3, 0.6), (0, 0.0), (2, 0.0), (4, -1.0)]
