@@ -24,12 +24,19 @@ from .search import BROADCAST_QUERY_BYTES, _matching, attach, ranked
 
 #: Slots of one shard: its vectors and graph fit into a worker, and building it is the longest task.
 SHARD_SLOTS = 20_000
+#: A walk that keeps ef_search nodes meets nearly all near ones in a shard of so many times ef_search slots, whatever the data.
+SLOTS_PER_EF = 10
 MOST_LEVEL = 254
 
 NODES = "shard long, node long, level int"
 EDGES = "shard long, node long, layer int, neighbours array<long>"
 
 
+def covered_slots(config: HnswConfig) -> int:
+    """Slots of a shard, if each query must find its neighbours: the larger a shard, the more a walk of ef_search nodes misses."""
+    return min(SHARD_SLOTS, SLOTS_PER_EF * config.ef_search)
+
+
 def draw_levels(slots: np.ndarray, config: HnswConfig) -> np.ndarray:
     """floor(-ln(u) / ln(M)) for a u in (0, 1) of 24 bits that belongs to the slot."""
     u = (splitmix64(config.seed, slots.astype(np.uint64)) >> np.uint64(40)).astype(float) / (1 << 24)

@@ -114,6 +114,18 @@ def test_graph_recall(clustered, metric, least):
     assert search.recall(found, search.knn_blocks(s, q, metric, o), 10).agg(F.avg("recall")).first()[0] > least
 
 
+def test_each_query_finds_nine_of_ten_in_a_large_store(spark, tmp_path, monkeypatch):
+    """On vectors without structure, a walk of few nodes misses neighbours in a shard that is much larger."""
+    from galena import queries
+
+    v = np.random.default_rng(3).normal(size=(2_000, 64))
+    spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "vec_id long, embedding array<float>").withColumn("label", F.lit(0)).write.parquet(str(tmp_path / "embeddings.parquet"))
+    config = HnswConfig(m=12, ef_construction=30, ef_search=40)
+    monkeypatch.setattr(queries, "HnswConfig", lambda **_: config)  # smaller than the query's, for a smaller table
+    got = queries.ann_recall(spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == [(i, True) for i in range(0, 2_000, 50)]
+
+
 def test_graphs_repeat_and_thin(clustered):
     s, _ = clustered
     config = HnswConfig(m=4, ef_construction=20)
